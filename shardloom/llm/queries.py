@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import table
-from . import mixture, packing, splitting, tokens
+from . import garbled, mixture, packing, splitting, tokens
 
 
 def _pieces(spark: SparkSession, d: str, place: bool) -> DataFrame:
@@ -56,7 +56,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(*mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_assignment, p5_containers, p6_ids, p6_decoded, p7_mixture, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restore(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restore(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_assignment, p5_containers, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_restored)}
 
 _KIND = "(select run_id, min(data_structure) as data_structure from doc_meta group by 1)"
 
