@@ -334,7 +334,7 @@ def _judge(run: str, model: Model) -> tuple[str, str, str, bool] | None:
             if written in MULTI:
                 ok = len(after) >= 4 and known >= 0.7 and lower >= 1.5 and lost * 8 <= len(after)
             else:
-                ok = known >= 0.8 and (lower >= 2 if len(after) >= 8 else lower >= 4 and mean > FLOOR - 5 and float(after.max()) < FLOOR - 2)
+                ok = known >= 0.8 and (lower >= 3.5 if len(after) >= 8 else lower >= 4 and mean > FLOOR - 5 and float(after.max()) < FLOOR - 2)
             if ok:
                 value = lower * len(before) - 10 * lost
                 if best is None or value > score:
