@@ -17,7 +17,7 @@ from .jsonbuf import ARR, ARR_END, COMMA, OBJ, OBJ_END, SCALAR, STR, Index, _sli
 
 SCHEMA = (
     "doc_id string, node bigint, parent bigint, depth int, kind string, scalar_type string, key string, pos int, path array<string>, n_children bigint, "
-    "compact_size bigint, spaced_size bigint, formatted_size bigint, nested_size bigint, raw string"
+    "compact_size bigint, spaced_size bigint, formatted_size bigint, nested_size bigint, raw string, in_list boolean, sampled boolean"
 )
 
 
@@ -45,7 +45,8 @@ def node_table(doc_ids: pa.Array, texts: pa.Array, raw: bool = False) -> pa.Tabl
     """One row for each value of each document in pre-order; `texts` in compact form, invalid ones give no rows.
 
     nested_size: formatted size of the value one level deep, as below the data key of a shard file. raw: JSON text of
-    scalars, or of all values if asked for.
+    scalars, or of all values if asked for. in_list: whether a list is above; sampled: whether the value lies within the
+    first five elements of every list above.
     """
     x = Index(pc.cast(texts, pa.large_string()))
     typ, n = x.typ, len(x.typ)
@@ -107,6 +108,12 @@ def node_table(doc_ids: pa.Array, texts: pa.Array, raw: bool = False) -> pa.Tabl
         go = slot >= low
         slot, cur, low = slot[go], cur[go], low[go]
     path = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pc.cast(pool.take(pa.array(ids)), pa.string()))
+    # below a list; within the first five elements of every list above
+    inside, early = in_arr.copy(), ~in_arr | (pos < 5)
+    for level in range(1, int(d.max()) + 1 if m else 0):
+        q = np.flatnonzero(d == level)
+        inside[q] |= inside[parent[q]]
+        early[q] &= early[parent[q]]
     kind = np.where(is_obj[at], "dict", np.where(typ[at] == ARR, "list", "primitive")).astype(object)
     byte = x.buf[x.pos[at]]
     stype = np.full(m, None, object)
@@ -126,6 +133,6 @@ def node_table(doc_ids: pa.Array, texts: pa.Array, raw: bool = False) -> pa.Tabl
     keys = pc.cast(pool, pa.string()).take(pa.array(order, mask=~in_obj))
     cols = [
         doc_ids.take(pa.array(row)), pa.array(np.arange(m) - start), pa.array(parent - start, mask=parent < 0), pa.array(d.astype(np.int32)), pa.array(kind, pa.string()), pa.array(stype, pa.string()),
-        keys, pa.array(pos, mask=~in_arr), path, pa.array(kids[at].astype(np.int64)), pa.array(size), pa.array(size + sum_of(spaced)), pa.array(formatted), pa.array(nested), raws,
+        keys, pa.array(pos, mask=~in_arr), path, pa.array(kids[at].astype(np.int64)), pa.array(size), pa.array(size + sum_of(spaced)), pa.array(formatted), pa.array(nested), raws, pa.array(inside), pa.array(early),
     ]
     return pa.table(cols, [c.split()[0] for c in SCHEMA.split(", ")])
