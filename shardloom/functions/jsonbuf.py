@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 
 OBJ, ARR, OBJ_END, ARR_END, COMMA, COLON, STR, SCALAR = (ord(c) for c in '{[}],:"0')
 _NUMBER = r"^(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)$"
+_CONSTANT = _NUMBER.replace("null", "null|NaN|-?Infinity")
 _SPACE = " \t\n\r"
 _KIND = np.full(256, 3, np.uint8)  # 0 white space, 1 structural, 2 quote, 3 scalar
 _KIND[[ord(c) for c in _SPACE]] = 0
@@ -69,10 +70,10 @@ class Index:
 
     valid: by row. Tokens: pos, typ, row, level (of the container they lie in; of their own for brackets), up (token of
     the enclosing opener, -1 at the root), end (end of strings and scalars). Members of an object whose name comes
-    again later are dropped with all below them, as the last one holds.
+    again later are dropped with all below them, as the last one holds. constants: NaN and Infinity count as numbers.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, constants: bool = False):
         texts = pc.fill_null(texts, "")
         n_rows = len(texts)
         off = np.frombuffer(texts.buffers()[1], np.int64, n_rows + 1, texts.offset * 8)
@@ -132,7 +133,7 @@ class Index:
         begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
         if len(begin):
             words = _slices(buf, begin, end)
-            ok = pc.match_substring_regex(words, _NUMBER).to_numpy(zero_copy_only=False)
+            ok = pc.match_substring_regex(words, _CONSTANT if constants else _NUMBER).to_numpy(zero_copy_only=False)
             if not ok.all():
                 bad[row_at(begin[~ok])] = True
         mark = (kind == 1) & ~inside

@@ -48,7 +48,7 @@ def node_table(doc_ids: pa.Array, texts: pa.Array, raw: bool = False) -> pa.Tabl
     scalars, or of all values if asked for. in_list: whether a list is above; sampled: whether the value lies within the
     first five elements of every list above.
     """
-    x = Index(pc.cast(texts, pa.large_string()))
+    x = Index(pc.cast(texts, pa.large_string()), True)
     typ, n = x.typ, len(x.typ)
     value = ~x.key & np.isin(typ, (STR, SCALAR, OBJ, ARR))
     at = np.flatnonzero(value)
@@ -124,7 +124,7 @@ def node_table(doc_ids: pa.Array, texts: pa.Array, raw: bool = False) -> pa.Tabl
     number_like = sc & ~np.isin(byte, (ord("t"), ord("f"), ord("n")))
     if number_like.any():
         q = np.flatnonzero(number_like)
-        frac = pc.match_substring_regex(_slices(x.buf, x.pos[at[q]], x.end[at[q]]), "[.eE]").to_numpy(zero_copy_only=False)
+        frac = pc.match_substring_regex(_slices(x.buf, x.pos[at[q]], x.end[at[q]]), "[.eENI]").to_numpy(zero_copy_only=False)
         stype[q] = np.where(frac, "float", "int")
     take = np.arange(m) if raw else np.flatnonzero(~opener[at])
     text = np.full(m, -1, np.int64)

@@ -48,7 +48,7 @@ _DOCS = """docs as (select distinct run_id || '/' || shard_id as doc_id, data fr
 _TREE = f"""with recursive {_DOCS},
 t as materialized (select doc_id, j.id, j.parent, j.key, case j.type when 'OBJECT' then 'dict' when 'ARRAY' then 'list' else 'primitive' end as kind, j.type as jt, j.value as value from docs, json_tree(docs.data) j),
 n as (select *, 0 as depth, '' as top, false as in_list, true as sampled from t where parent is null
-  union all select t.*, n.depth + 1, if(n.depth = 0, t.key, n.top), n.in_list or n.kind = 'list', n.sampled and (n.kind <> 'list' or cast(t.key as int) < 5) from t join n on t.doc_id = n.doc_id and t.parent = n.id),
+  union all select t.*, n.depth + 1, if(n.depth = 0, t.key, n.top), n.in_list or n.kind = 'list', n.sampled and (n.kind <> 'list' or try_cast(t.key as int) < 5) from t join n on t.doc_id = n.doc_id and t.parent = n.id),
 kids as (select doc_id, parent as id, count(*) as k from t where parent is not null group by all),
 nodes as (select n.*, coalesce(k, 0) as n_children from n left join kids using (doc_id, id))"""
 
@@ -335,8 +335,8 @@ issues as (select distinct l.run_id, l.shard_id, case when o.shard_id is null th
 
 @query(
     f"""with recursive {_REC} select run_id, shard_id, unnest(list_filter([if(not starts_with(shard_id, 'shard_'), 'no_prefix', null), if(parent_id = shard_id, 'own_parent', null), if(list_contains(child_ids, shard_id), 'own_child', null),
-if(data_type is null or data_type not in ('dict', 'list', 'primitive'), 'bad_data_type', null), if(original_path is null, 'null_path', null), if(len(child_ids) > len(list_distinct(child_ids)) + if(list_contains(list_transform(child_ids, x -> x is null), true), 1, 0), 'repeated_child', null),
-if(len(list_filter(child_ids, x -> x is null or x = '')) > 0, 'blank_child', null)], x -> x is not null)) as issue from rec"""
+if(data_type is null or data_type not in ('dict', 'list', 'primitive'), 'bad_data_type', null), if(original_path is null, 'null_path', null), if(len(child_ids) > len(list_distinct(child_ids)) + if(list_contains(list_transform(child_ids, lambda x: x is null), true), 1, 0), 'repeated_child', null),
+if(len(list_filter(child_ids, lambda x: x is null or x = '')) > 0, 'blank_child', null)], lambda x: x is not null)) as issue from rec"""
 )
 def g1_record_issues(spark, d):
     return L.record_issues(_rec(spark, d))
@@ -347,7 +347,7 @@ def g2_link_issues(spark, d):
     return L.link_issues(_rec(spark, d))
 
 
-@query(_ISSUES + " select run_id, count_if(issue in ('missing_child', 'child_parent_mismatch')) = 0 as valid from (select distinct run_id from rec) left join issues using (run_id) group by all")
+@query(_ISSUES + " select run_id, count_if(coalesce(issue in ('missing_child', 'child_parent_mismatch'), false)) = 0 as valid from (select distinct run_id from rec) left join issues using (run_id) group by all")
 def g3_hierarchy_valid(spark, d):
     return L.hierarchy_valid(_rec(spark, d))
 
