@@ -31,7 +31,7 @@ FLOOR = 20.0
 #: scripts of East Asia, that of the least probable twentieth of all pairs of the script, else a fixed one, as garbled
 #: text itself makes up much of those pairs. Score of a pair of ASCII characters. Least score of a segment by script.
 THRESHOLD, RARE, ASCII_SCORE = -12.0, 0.03, -3.0
-LEAST_SCORE = (0.0, 12.0, 16.0)
+LEAST_SCORE, MARK_SCORE = (0.0, 12.0, 16.0), 16.0
 
 #: Encodings that bytes are read in by mistake, with one byte a character and with several (fixed values).
 SINGLE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866")
@@ -162,6 +162,11 @@ class Model:
         self.closed = np.zeros((size, size), bool)
         shut = ok & (kind < 2) & ~self._may_be_garbled(a, b, info)
         self.closed[ia[shut], ib[shut]] = True
+        self.marked = np.zeros((size, size), bool)
+        seen = np.zeros(0x110000, np.int64)
+        seen[points] = weight
+        mark = ok & self._is_sequence(a, b, n, seen)
+        self.marked[ia[mark], ib[mark]] = True
         self.cache: dict[str, tuple] = {}
 
     def _may_be_garbled(self, a: np.ndarray, b: np.ndarray, info: np.ndarray) -> np.ndarray:
@@ -185,6 +190,16 @@ class Model:
                     may |= ((a2 != a) | (b2 != b)) & (info - self.info[self.lookup[a2], self.lookup[b2]] >= 2)
         return may
 
+    @staticmethod
+    def _is_sequence(a: np.ndarray, b: np.ndarray, n: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Whether the pair is a whole UTF-8 sequence, read in a code page, of a character outside ASCII that is more frequent than the pair: a sign however often it occurs."""
+        mark = np.zeros(len(a), bool)
+        for table in _TABLES.values():
+            ra, rb = table[np.minimum(a, 0xFFFF)], table[np.minimum(b, 0xFFFF)]
+            code = (ra.astype(np.int64) & 0x1F) << 6 | (rb & 0x3F)
+            mark |= (ra >= 0xC2) & (ra <= 0xDF) & ((rb & 0xC0) == 0x80) & (b > 127) & (seen[code] > 2 * n)
+        return mark
+
     def pairs(self, s: str) -> np.ndarray:
         """Information of the pairs of `s` that touch a character outside ASCII."""
         x = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -461,6 +476,7 @@ def _scan(batches, shared):
             cubic = -3 * model.info[a, b].astype(np.float32) + model.left[a] + model.right[b]
             kind = script(x)
             score[touch] = np.where(model.closed[a, b], ASCII_SCORE, np.clip(model.bounds[np.maximum(kind[touch], kind[touch + 1])] - cubic, -8, 8))
+            score[touch[model.marked[a, b]]] = MARK_SCORE
             lost = np.flatnonzero(x == 0xFFFD)
             score[lost] = 8
             score[ends[ends > 0] - 1] = -1e6  # a pair over the end of a text

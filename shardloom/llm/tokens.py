@@ -78,7 +78,8 @@ def _presplit(batches, chunk: int, overlap: int):
         for part in batch.column("part").to_pylist():
             starts = [m.start() for m in split.finditer(part)]
             head.append([s for s in starts if s < overlap])
-            tail.append([s - chunk for s in starts if chunk <= s < len(part) - 1])
+            # a piece must not end in white space, whose split depends on what follows
+            tail.append([s - chunk for s in starts if chunk <= s < len(part) - 1 and not part[s - 1].isspace()])
             m = sure.search(part, 0, min(chunk, len(part)))
             absolute.append(m.start() if m else None)
             body.append(part[:chunk])
