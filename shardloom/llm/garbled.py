@@ -329,7 +329,7 @@ def _judge(run: str, model: Model) -> tuple[str, str, str, bool] | None:
         share = (found + lost) / (found + lost + rest / 2)
         gain = total - float(after.sum())
         ok = share >= 0.6 and gain > 6 and known >= 0.5 if read in _TABLES else found >= 2 and share >= 0.75 and known >= 0.6 and gain > 12
-        if ok or (found >= 6 and share >= 0.9 and lost <= 2 * found):
+        if ok or (found >= 3 and found + lost >= 8 and share >= 0.8):
             value = gain + 40 * share - 8 * lost
             if best is None or value > score:
                 best, score = (new, read, "utf-8", lost == 0 and rest == 0), value
@@ -347,7 +347,7 @@ def _judge(run: str, model: Model) -> tuple[str, str, str, bool] | None:
             lower = mean - float(after.mean())
             lost = new.count("\ufffd")
             if written in MULTI:
-                ok = len(after) >= 4 and known >= 0.7 and lower >= 1.5 and lost * 8 <= len(after)
+                ok = (len(after) >= 4 and known >= 0.7 and lower >= 1.5 and lost * 8 <= len(after)) or (len(after) == 3 and known == 1 and lower >= 4)
             else:
                 ok = known >= 0.8 and (lower >= 3.5 if len(after) >= 8 else lower >= 4 and mean > FLOOR - 5 and float(after.max()) < FLOOR - 2)
             if ok:
@@ -429,9 +429,9 @@ def _parts(text: str, a: int, b: int, model: Model):
     for c, d in zip(cuts, cuts[1:]):
         if d - c < 2:
             continue
-        got = judge(text[c:d], model) if len(cuts) > 2 else None
+        got = judge("\n" * (c > a) + text[c:d], model) if len(cuts) > 2 else None
         if got is not None:
-            yield c, d, got
+            yield c, d, (got[0].removeprefix("\n"), *got[1:]) if c > a else got
             continue
         m = _SCRIPT.search(text, c, d)
         if m and (m.start() > c + 1 or m.end() < d - 1):
