@@ -98,6 +98,17 @@ from ends e join up u on u.run_id = e.run_id and u.shard_id = e.shard_id left jo
     + """
 select run_id, a as shard_id, shard_id as descendant_id, cast(i as bigint) as distance
 from (select run_id, shard_id, unnest(line[2:]) as a, generate_subscripts(line[2:], 1) as i from ends where p is null)""",
+    "p2_found": """
+with recursive docs as (select distinct run_id, shard_id, if(json_type(data) = 'VARCHAR', json_extract_string(data, '$'), data) as j from file_shard where json_valid(data)),
+ok as materialized (select * from docs where json_valid(j) and json_type(j) in ('OBJECT', 'ARRAY') and not regexp_matches(regexp_replace(j, '"([^"\\\\]|\\\\.)*"', '', 'gs'), '(?i)nan|inf')),
+t as materialized (select run_id, shard_id, x.id, x.parent, x.key, x.type from ok, json_tree(ok.j) x),
+n as (
+  select run_id, shard_id, id, type, '' as ptr, '' as near, false as hit from t where parent is null
+  union all
+  select t.run_id, t.shard_id, t.id, t.type, n.ptr || '/' || replace(replace(t.key, '~', '~0'), '/', '~1'), if(n.hit, n.ptr, n.near), n.type = 'ARRAY' and t.type = 'OBJECT'
+  from t join n on t.run_id = n.run_id and t.shard_id = n.shard_id and t.parent = n.id
+)
+select distinct run_id, shard_id, near as parent_ptr, ptr as child_ptr from n where hit""",
     "p4_found": _STATES + " select * from judged where state <> 'held'",
     "p4_counts": _STATES
     + """, one as (select src_table, run_id, shard_id, ref_field, ref_id, period, max(state <> 'held') as open from judged group by all)
