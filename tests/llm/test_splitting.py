@@ -56,3 +56,11 @@ def test_operator(spark):
     text = "".join(r.text.encode()[r.shared_bytes :].decode() for r in rows)
     assert text == "word " * 100
     assert S.split_shards(shards.limit(0), docs, lim).collect() == [] and S.split_shards(shards, docs, lim.limit(0)).collect() == []
+
+
+def test_strings_are_spared():
+    raw = json.dumps({f"k{i}": "one, two. three, four" for i in range(60)}, separators=(",", ":")).encode()
+    for _, b, _ in check(raw, 300, 0, 4)[:-1]:
+        assert raw[b - 2 : b] == b'",'
+    body = json.dumps({"t": "\n".join("some line of text" for _ in range(100))}).encode()
+    assert all(body[b - 2 : b] == b"\\n" for _, b, _ in check(body, 400, 0, 1)[:-1])
