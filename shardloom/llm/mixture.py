@@ -86,8 +86,8 @@ def _land(p: list[float], x: list[int]) -> None:
 
 def _flight(seed: int, last: bool):
     def f(t: pa.Table) -> pa.Table:
-        src, blk, x, p = (t.column(c).to_pylist() for c in ("source", "block", "tokens", "p"))
-        order = sorted(range(len(p)), key=lambda i: (src[i], blk[i], t_id[i])) if (t_id := t.column("doc_id").to_pylist()) else []
+        src, blk, ids, x, p = (t.column(c).to_pylist() for c in ("source", "block", "doc_id", "tokens", "p"))
+        order = sorted(range(len(p)), key=lambda i: (src[i], blk[i], ids[i] is not None, ids[i]))
         at = 0
         while at < len(order):
             to = at

@@ -75,7 +75,7 @@ def _pack_groups(t: pa.Table) -> pa.Table:
     for a, b in zip(edge, edge[1:]):
         if a == b:
             continue
-        order = np.array(sorted(range(a, b), key=lambda i: (run[i], shard[i], piece[i])))
+        order = np.array(sorted(range(a, b), key=lambda i: (run[i], shard[i] or "", piece[i])))
         got = pack(size[order], int(cap[a]))
         bins[order] = got
         fill[order] = np.bincount(got, weights=size[order])[got].astype(np.int64)

@@ -27,7 +27,7 @@ def test_large_items_pair():
 
 
 def test_assignment(spark):
-    shards = [(1, f"s{i}", "x" * (i * 7 % 130), None, "clash") for i in range(200)] + [(2, "null", None, 40, ""), (2, "neg", None, -4, ""), (3, "noclass", "abc", 3, ""), (1, "big", "é" * 120, 1, ""), (1, "big", "é" * 120, 1, "")]
+    shards = [(1, f"s{i}", "x" * (i * 7 % 130), None, "clash") for i in range(200)] + [(2, "null", None, 40, ""), (2, "neg", None, -4, ""), (3, "noclass", "abc", 3, ""), (1, None, "abc", 3, ""), (1, "big", "é" * 120, 1, ""), (1, "big", "é" * 120, 1, "")]
     s = spark.createDataFrame(shards, "run_id bigint, shard_id string, data string, size bigint, bin_id string")
     m = spark.createDataFrame([(1, "list"), (1, "list"), (2, "mixed")], "run_id bigint, data_structure string")
     spec = spark.createDataFrame([("list", 100), ("mixed", 50), ("unused", 10)], "data_structure string, capacity_bytes bigint")
@@ -37,7 +37,7 @@ def test_assignment(spark):
         by[r.run_id, r.shard_id].append(r)
         if r.bin_id is not None:
             fill[r.data_structure, r.bin_id] += r.bytes
-    assert len(by) == 204
+    assert len(by) == 205
     assert all(v <= {"list": 100, "mixed": 50}[k[0]] for k, v in fill.items())
     assert sorted(r.bytes for r in by[1, "big"]) == [40, 100, 100] and len({r.piece for r in by[1, "big"]}) == 3
     assert by[3, "noclass"][0].bin_id is None and by[2, "null"][0].bytes == 40 and by[2, "neg"][0].bytes == 0
