@@ -222,19 +222,18 @@ def tuned_score(stats: DataFrame, limit: int) -> DataFrame:
     return stats.withColumn("tuned", F.least(F.lit(1.0), F.col("average_size") * 1.2 / limit))
 
 
-def list_statistics(shards: DataFrame) -> DataFrame:
-    """(run_id, list_shards, items, average_items) of list-valued texts."""
-    v = F.try_parse_json("data")
-    n = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.json_array_length("data"))
-    one = shards.select("run_id", "shard_id", n.cast("bigint").alias("n")).where("n is not null").dropDuplicates(["run_id", "shard_id"])
+def list_statistics(docs: DataFrame) -> DataFrame:
+    """(run_id, list_shards, items, average_items) of the documents `run_id/shard_id` whose root is a list."""
+    lists = C.canonical(docs).where("json like '[%'")
+    one = lists.select(F.split("doc_id", "/")[0].cast("bigint").alias("run_id"), F.json_array_length("json").cast("bigint").alias("n"))
     return one.groupBy("run_id").agg(F.count("*").alias("list_shards"), F.sum("n").alias("items"), F.round(F.avg("n"), 6).alias("average_items"))
 
 
-def processor_statistics(shards: DataFrame) -> DataFrame:
-    """(run_id, processor, shards, bytes): by the processor that a text names at its top level, else mixed."""
-    p = F.coalesce(F.get_json_object("data", "$._processor"), F.lit("mixed_processor"))
-    one = shards.select("run_id", "shard_id", p.alias("processor"), F.octet_length("data").alias("b")).dropDuplicates(["run_id", "shard_id"])
-    return one.groupBy("run_id", "processor").agg(F.count("*").alias("shards"), F.coalesce(F.sum("b"), F.lit(0)).cast("bigint").alias("bytes"))
+def processor_statistics(docs: DataFrame) -> DataFrame:
+    """(run_id, processor, shards, bytes): documents `run_id/shard_id` by the processor they name at their top level, else mixed; invalid ones left out."""
+    p = F.coalesce(F.get_json_object("json", "$._processor"), F.lit("mixed_processor"))
+    one = C.canonical(docs).where("json is not null").select(F.split("doc_id", "/")[0].cast("bigint").alias("run_id"), p.alias("processor"), F.octet_length("json").alias("b"))
+    return one.groupBy("run_id", "processor").agg(F.count("*").alias("shards"), F.sum("b").cast("bigint").alias("bytes"))
 
 
 def _operation() -> Column:

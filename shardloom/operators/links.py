@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import blank_to_null
+from ..sources import corpus
 from . import hierarchy
 
 KEY = ["run_id", "shard_id"]
@@ -206,11 +207,13 @@ def repair(rec: DataFrame) -> DataFrame:
     return rest.join(held, KEY, "left").withColumn("child_ids", F.coalesce("child_ids", F.array().cast("array<string>")))
 
 
-def data_kind(data: str) -> Column:
-    """dict, list, primitive or invalid, from the JSON text of a shard."""
-    v = F.try_parse_json(F.col(data))
-    t = F.schema_of_variant(v)
-    return F.when(v.isNull(), "invalid").when(t.startswith("OBJECT"), "dict").when(t.startswith("ARRAY"), "list").otherwise("primitive")
+def data_kinds(shards: DataFrame) -> DataFrame:
+    """(run_id, shard_id, data, actual): actual is dict, list, primitive or invalid, by a strict parse of the text."""
+    one = shards.groupBy(*KEY).agg(F.max("data").alias("data")).withColumn("doc_id", F.concat_ws("/", F.col("run_id").cast("string"), "shard_id"))
+    parsed = corpus.canonical(one.select("doc_id", F.col("data").alias("json"))).select("doc_id", F.col("json").alias("sound"), "error_type").dropDuplicates(["doc_id"])
+    first = F.substring("sound", 1, 1)
+    kind = F.when(first == "{", "dict").when(first == "[", "list").when((F.col("error_type") == "STRUCTURE"), "primitive").otherwise("invalid")
+    return one.join(parsed, "doc_id").select(*KEY, "data", kind.alias("actual"))
 
 
 def recover(rec: DataFrame, shards: DataFrame) -> DataFrame:
@@ -219,9 +222,9 @@ def recover(rec: DataFrame, shards: DataFrame) -> DataFrame:
     Rebuilt shards hold `_recovered` and `_original_id` in the declared type. Records without a stored text are `missing`.
     """
     bad = record_issues(rec).where(F.col("issue").isin("no_prefix", "own_parent", "own_child", "bad_data_type")).select(*KEY).distinct().withColumn("bad", F.lit(True))
-    data = shards.groupBy(*KEY).agg(F.max("data").alias("data"))
+    data = data_kinds(shards)
     j = rec.select(*KEY, "data_type").join(bad, KEY, "left").join(data, KEY, "left")
-    kind = data_kind("data")
+    kind = F.col("actual")
     fits = (kind == F.col("data_type")) | ((F.col("data_type") == "primitive") & (kind != "invalid"))
     stub = F.to_json(F.struct(F.lit(True).alias("_recovered"), F.col("shard_id").alias("_original_id")))
     made = F.when(F.col("data_type") == "dict", stub).when(F.col("data_type") == "list", F.concat(F.lit("["), stub, F.lit("]"))).otherwise(F.concat(F.lit('"_recovered_from_'), F.col("shard_id"), F.lit('"')))

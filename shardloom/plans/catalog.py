@@ -14,6 +14,7 @@ from ..operators import analysis as A
 from ..operators import links as L
 from ..operators import packing, sharding
 from ..sources import corpus, sinks
+from .problems import _UP
 
 LIMIT = 4000
 QUERIES: dict = {}
@@ -369,7 +370,10 @@ def g5_references_in_data(spark, d):
     return n.join(known, ["run_id", "ref"], "left_anti").select("doc_id", "ref").distinct()
 
 
-@query()
+@query(
+    f"""with recursive {_REC}, o as (select *, coalesce(try_cast(nullif(regexp_extract(shard_id, '(\\d{{1,15}})', 1), '') as bigint), 4611686018427387904) as num from rec where data_type = 'list')
+select run_id, shard_id, lag(shard_id) over w as previous_shard, lead(shard_id) over w as next_shard from o window w as (partition by run_id order by num, shard_id)"""
+)
 def g8_relinked(spark, d):
     return L.relink(_rec(spark, d))
 
@@ -390,7 +394,7 @@ def g12_integrity(spark, d):
     return L.integrity(_rec(spark, d))
 
 
-@query()
+@query(_UP + " select run_id, list_min(line[list_position(line, cur):]) as head_id, count(*) as members from ends where p is not null and list_contains(line[:-2], cur) and list_position(line, cur) = 1 group by all")
 def g13_cycles(spark, d):
     return L.cycles(_rec(spark, d))
 
@@ -477,14 +481,14 @@ def a9_tuned_score(spark, d):
     return A.tuned_score(A.shard_statistics(_stored(spark, d), ["run_id"], "size", "data_type"), 25000).select("run_id", F.round("tuned", 6).alias("tuned"))
 
 
-@query()
+@query(f"with recursive {_DOCS} select split_part(doc_id, '/', 1)::bigint as run_id, count(*) as list_shards, sum(json_array_length(data))::bigint as items, round(avg(json_array_length(data)), 6) as average_items from docs where json_type(data) = 'ARRAY' group by all")
 def a3_list_statistics(spark, d):
-    return A.list_statistics(table(spark, d, "file_shard"))
+    return A.list_statistics(_docs(spark, d))
 
 
 @query()
 def a4_processor_statistics(spark, d):
-    return A.processor_statistics(table(spark, d, "file_shard"))
+    return A.processor_statistics(_docs(spark, d))
 
 
 _RUNS = "(select distinct * replace (lower(trim(operation_name)) as operation_name) from run_metrics)"
