@@ -41,13 +41,24 @@ def large_values(nodes: DataFrame, threshold: int) -> DataFrame:
 # structure
 
 
+def _roots(nodes: DataFrame, threshold: int = 1 << 62) -> DataFrame:
+    """`children_of_root` with the root's spaced size and the number of containers above the threshold: one pass over the nodes."""
+    big = F.count_if((F.col("kind") != "primitive") & (F.col("spaced_size") > threshold))
+    top = nodes.groupBy("doc_id", F.get("path", F.lit(0)).alias("seg")).agg(
+        F.min_by("kind", "node").alias("kind"), (F.max("depth") - 1).cast("bigint").alias("deep"), F.max(F.when(F.col("depth") == 0, F.col("n_children"))).alias("n"), F.max(F.when(F.col("depth") == 0, F.col("spaced_size"))).alias("size"), big.alias("big")
+    )
+    k, root = F.col("kind"), F.col("seg").isNull()
+    deep = F.when(~root, F.col("deep"))
+    per = top.groupBy("doc_id").agg(
+        F.max(F.when(root, k)).alias("root_kind"), F.max("n").alias("n"), *(F.count_if(~root & (k == x)).alias(f"{x}s") for x in ("dict", "list", "primitive")),
+        F.min(deep).alias("min_depth"), F.max(deep).alias("max_depth"), F.avg(deep).alias("avg_depth"), F.max("size").alias("spaced_size"), F.sum("big").alias("candidates"),
+    )
+    return per.fillna(0, ["min_depth", "max_depth", "avg_depth"])
+
+
 def children_of_root(nodes: DataFrame) -> DataFrame:
     """(doc_id, root_kind, n, dicts, lists, primitives, min_depth, max_depth, avg_depth) of each document's root; depths are those of its values."""
-    top = nodes.where("depth > 0").groupBy("doc_id", F.col("path")[0].alias("seg")).agg(F.min_by("kind", "node").alias("kind"), (F.max("depth") - 1).cast("bigint").alias("deep"))
-    k = F.col("kind")
-    per = top.groupBy("doc_id").agg(F.count_if(k == "dict").alias("dicts"), F.count_if(k == "list").alias("lists"), F.count_if(k == "primitive").alias("primitives"), F.min("deep").alias("min_depth"), F.max("deep").alias("max_depth"), F.avg("deep").alias("avg_depth"))
-    root = nodes.where("depth = 0").select("doc_id", F.col("kind").alias("root_kind"), F.col("n_children").alias("n"))
-    return root.join(per, "doc_id", "left").fillna(0)
+    return _roots(nodes).drop("spaced_size", "candidates")
 
 
 def _kinds() -> Column:
@@ -113,11 +124,14 @@ def mixed_analysis(nodes: DataFrame) -> DataFrame:
     return a.withColumn("score", F.round(F.least(F.lit(10.0), score), 6)).drop("blended")
 
 
+def _advisory_score() -> Column:
+    s = F.col("max_depth") * 0.3 + F.when(F.col("homogeneous"), 0.0).otherwise(0.5) + F.when(F.col("advisory") == "mixed", 0.7).otherwise(0.0) + F.when(F.col("n") > 100, 0.4).otherwise(0.0)
+    return F.round(F.least(F.lit(5.0), F.when(F.col("n") > 0, s).otherwise(0.0)), 6)
+
+
 def advisory_score(roots: DataFrame) -> DataFrame:
     """(doc_id, advisory, score), at most 5: 0.3 for each level, 0.5 if not of one kind, 0.7 if mixed, 0.4 for over a hundred values; 0 for empty roots."""
-    p = patterns(roots)
-    s = F.col("max_depth") * 0.3 + F.when(F.col("homogeneous"), 0.0).otherwise(0.5) + F.when(F.col("advisory") == "mixed", 0.7).otherwise(0.0) + F.when(F.col("n") > 100, 0.4).otherwise(0.0)
-    return p.select("doc_id", "advisory", F.round(F.least(F.lit(5.0), F.when(F.col("n") > 0, s).otherwise(0.0)), 6).alias("score"))
+    return patterns(roots).select("doc_id", "advisory", _advisory_score().alias("score"))
 
 
 def statistics(nodes: DataFrame) -> DataFrame:
@@ -158,10 +172,9 @@ def top_candidates(found: DataFrame, k: int = 5) -> DataFrame:
 
 def recommend(nodes: DataFrame, limit: int) -> DataFrame:
     """(doc_id, structure, advisory, processor, candidates, shards, score, strategy): the whole advice for each document."""
-    roots = children_of_root(nodes)
-    found = candidates(nodes, limit // 2).groupBy("doc_id").agg(F.count("*").alias("candidates"))
-    size = nodes.where("depth = 0").select("doc_id", Z.plain_estimate("spaced_size", limit).alias("shards"))
-    j = classify(roots).select("doc_id", "structure").join(advisory_score(roots), "doc_id").join(found, "doc_id", "left").join(size, "doc_id").fillna(0, ["candidates"])
+    roots = _roots(nodes, limit // 2)
+    p = patterns(roots)
+    j = p.select("doc_id", "structure", "advisory", "candidates", Z.plain_estimate("spaced_size", limit).alias("shards"), _advisory_score().alias("score"))
     processor = F.when(F.col("advisory") == "dict-of-dicts", "dict_processor").when(F.col("advisory") == "list", "list_processor").otherwise("mixed_processor")
     strategy = (
         F.when(F.col("candidates") == 0, "simple_sharding").when(F.col("score") > 3, "complex_hierarchical").when(F.col("candidates") > 10, "aggressive_sharding")
@@ -175,31 +188,34 @@ def _suggest(df: DataFrame, rules: list[tuple[Column, str, Column]]) -> DataFram
     return df.select("doc_id", F.inline(hits))
 
 
-def _root_values(nodes: DataFrame, limit: int, share: float) -> DataFrame:
-    k = F.col("kind")
-    size = F.when(k == "primitive", Z.scalar_size(F.when(F.col("scalar_type") == "str", F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<string>")[0]).otherwise(F.col("raw")), "scalar_type")).otherwise(F.col("compact_size"))
-    large = F.when(size > limit * share, size)
-    return nodes.where("depth = 1").groupBy("doc_id").agg(F.count(large).alias("large"), F.coalesce(F.sum(large), F.lit(0)).alias("large_bytes"), F.count_if(k != "primitive").alias("containers"), F.countDistinct(F.coalesce("scalar_type", "kind")).alias("types"))
+def _overview(nodes: DataFrame, limit: int, share: float) -> DataFrame:
+    """What the advice needs of each document, in one pass: its root, values above a share of the limit, containers and types among them, object nesting."""
+    k, top, root = F.col("kind"), F.col("depth") == 1, F.col("depth") == 0
+    text = F.when(F.col("scalar_type") == "str", F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<string>")[0]).otherwise(F.col("raw"))
+    size = F.when(k == "primitive", Z.scalar_size(text, "scalar_type")).otherwise(F.col("compact_size"))
+    large = F.when(top & (size > limit * share), size)
+    return nodes.groupBy("doc_id").agg(
+        F.max(F.when(root, k)).alias("root"), F.max(F.when(root, F.col("n_children"))).alias("n"), F.max(F.when(root, Z.file_size("nested_size"))).alias("size"),
+        F.count(large).alias("large"), F.coalesce(F.sum(large), F.lit(0)).alias("large_bytes"), F.count_if(top & (k != "primitive")).alias("containers"),
+        F.size(F.collect_set(F.when(top, F.coalesce("scalar_type", "kind")))).alias("types"), F.max(F.when((k == "dict") & ~F.col("in_list"), F.col("depth"))).alias("level"),
+    )
 
 
 def dict_advice(nodes: DataFrame, limit: int) -> DataFrame:
     """(doc_id, suggestion, value) for object roots: large values, deep nesting, many keys."""
-    root = nodes.where("depth = 0 and kind = 'dict'").select("doc_id", F.col("n_children").alias("n"))
-    j = root.join(_root_values(nodes, limit, 0.5), "doc_id", "left").join(object_nesting(nodes), "doc_id", "left")
+    j = _overview(nodes, limit, 0.5).where("root = 'dict'")
     return _suggest(j, [(F.col("large") > 0, "split_large_values", F.col("large")), (F.col("level") > 5, "flatten_deep_nesting", F.col("level")), (F.col("n") > 1000, "group_related_keys", F.col("n"))])
 
 
 def list_advice(nodes: DataFrame, limit: int) -> DataFrame:
     """(doc_id, suggestion, value) for list roots: large elements, several types, containers, many elements."""
-    root = nodes.where("depth = 0 and kind = 'list' and n_children > 0").select("doc_id", F.col("n_children").alias("n"))
-    j = root.join(_root_values(nodes, limit, 0.5), "doc_id")
+    j = _overview(nodes, limit, 0.5).where("root = 'list' and n > 0")
     return _suggest(j, [(F.col("large") > 0, "split_large_items", F.col("large")), (F.col("types") > 1, "group_similar_items", F.col("types")), (F.col("containers") > 0, "flatten_nested_structures", F.col("containers")), (F.col("n") > 10000, "batch_processing", F.col("n"))])
 
 
 def size_advice(nodes: DataFrame, limit: int) -> DataFrame:
     """(doc_id, suggestion, value) for documents over the limit, value the bytes that may be saved."""
-    root = nodes.where("depth = 0").select("doc_id", F.col("kind").alias("root"), F.col("n_children").alias("n"), Z.file_size("nested_size").alias("size")).where(F.col("size") > limit)
-    j = root.join(_root_values(nodes, limit, 0.3), "doc_id", "left")
+    j = _overview(nodes, limit, 0.3).where(F.col("size") > limit)
     over = F.col("size") - limit
     return _suggest(j, [((F.col("root") == "dict") & (F.col("large") > 0), "split_large_values", F.col("large_bytes") * 0.5), ((F.col("root") == "list") & (F.col("n") > 10), "split_list", F.round(F.col("size") * 0.6, 6)), (over < F.col("size") * 0.1, "remove_formatting", F.round(F.col("size") * Z.OVERHEAD_SHARE, 6))])
 
