@@ -1,9 +1,10 @@
 """Parent-child links to full hierarchies.
 
 Method: weighted disjoint-set forests. Every record has at most one link to its parent, so the links form a forest
-with some cycles. A block (a whole run, or a part of a hot run) compresses its own links into (representative, offset)
-pairs; blocks of hot runs are then merged over the records that other blocks point to, segments of doubled length in
-each round, which finds roots and cycles; at last paths are read off by parent traversal along the index.
+with some cycles. A block (a whole run, or a part of a larger one) compresses its own links into (representative,
+offset) pairs; blocks of a run are then merged over the records that other blocks point to, segments of doubled length
+in each round, which finds roots and cycles; at last paths are read off by parent traversal along the index. Sizes of
+subtrees are folded upwards the same way: within blocks from the leaves, between blocks along the exits.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from ..cluster import blank_to_null, cut, map_groups
 
-#: Records of a run from which its links are cut into blocks.
-BLOCK_ROWS = 200_000
+#: Records of a block; runs of more are cut into several, which are merged.
+BLOCK_ROWS = 512
+#: Parts that a stretch of ids may be cut into, as they count within a block number.
+_PARTS = 1 << 20
 ROOTED, CYCLE, UNDER, DETACHED, OPEN = "rooted", "cycle", "under_cycle", "detached", "open"
 
 
@@ -81,8 +84,12 @@ class _Forest:
         self.self_loop = found & (self.up == np.arange(n))
         self.leaves = ~found  # the line ends here or leaves the block
 
-    def solve(self, extra_cycle: np.ndarray | None = None):
-        """(end row, offset, on_cycle, least code on the cycle) of every row; `extra_cycle`: rows known to be on cycles through other blocks."""
+    def solve(self, through: np.ndarray | None = None):
+        """(end row, offset, on_cycle, least code on the cycle, row that told) of every row.
+
+        through: rows known to be on cycles that run through other blocks; for every row on such a cycle the last result
+        is the one of them that it was reached from, else -1.
+        """
         n, me = self.n, np.arange(self.n)
         ptr, off, _ = _find(self.up.copy(), (self.up != me).astype(np.int64))
         ends = self.leaves[ptr]
@@ -94,16 +101,30 @@ class _Forest:
             for _ in range(ceil(log2(n + 1)) + 1):
                 least = np.where(on, np.minimum(least, least[p]), least)
                 p = p[p]
-        if extra_cycle is not None and extra_cycle.any():
-            at = np.flatnonzero(extra_cycle)
+        told = np.full(n, -1)
+        if through is not None and through.any():
+            at = np.flatnonzero(through)
+            told[at] = at
             while len(at):
                 on[at] = True
-                at = np.unique(self.up[at])
-                at = at[~on[at]]
+                above, first = np.unique(self.up[at], return_index=True)
+                fresh = ~on[above]
+                told[above[fresh]] = told[at[first[fresh]]]
+                at = above[fresh]
         if on.any():
             up = np.where(on, me, self.up)
             ptr, off, _ = _find(up, (up != me).astype(np.int64))
-        return ptr, off, on, least
+        return ptr, off, on, least, told
+
+    def below(self, off: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weights summed over the subtree of each row, itself included: levels folded from the deepest upwards."""
+        total = weight.astype(np.int64)
+        order = np.argsort(off, kind="stable")
+        edge = np.searchsorted(off[order], np.arange(int(off.max()) + 2)) if len(off) else np.zeros(1, np.int64)
+        for k in range(len(edge) - 2, 0, -1):
+            rows = order[edge[k] : edge[k + 1]]
+            np.add.at(total, self.up[rows], total[rows])
+        return total
 
     def segments(self, stop: np.ndarray, keep: np.ndarray) -> pa.Array:
         """For each row in `keep` the ids from below its end (inclusive) down to itself, by parent traversal along the index."""
@@ -119,99 +140,100 @@ class _Forest:
             values[at] = self.node[cur]
             go = at > first
             at, cur, first = at[go] - 1, up[cur[go]], first[go]
-        return pa.LargeListArray.from_arrays(pa.array(start, pa.int64()), self.names.take(pa.array(values)))
+        return pa.LargeListArray.from_arrays(pa.array(start, pa.int64()), self.names.take(pa.array(values))).cast(pa.list_(pa.string()))
 
 
-_LOCAL = "run_id bigint, block bigint, shard_id string, parent_id string, kind string, head_id string, steps bigint, ext string, least string, path array<string>"
+_LOCAL = "run_id bigint, block bigint, shard_id string, parent_id string, want boolean, kind string, head_id string, steps bigint, below bigint, ext string, least string, path array<string>"
+_SECOND = "run_id bigint, shard_id string, parent_id string, want boolean, kind string, head_id string, steps bigint, below bigint, path array<string>"
 
 
-def _schema(paths: bool) -> str:
-    return _LOCAL if paths else _LOCAL.replace(", path array<string>", "")
+def _text(values: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(object), pa.string())
 
 
 def _local(paths: bool):
+    """First pass over blocks: everything about lines that end within the block, and the exits of the others."""
+
     def f(t: pa.Table) -> pa.Table:
         w = _Forest(t)
         hot = t.column("hot").to_numpy(zero_copy_only=False)
-        ptr, off, on, least = w.solve()
-        end = ptr
-        ends_on = on[end]
-        has_parent = w.par[end] >= 0
-        kind = np.select([on, ends_on, ~has_parent, hot], [CYCLE, UNDER, ROOTED, OPEN], DETACHED)
+        ptr, off, on, least, _ = w.solve()
+        ends_on = on[ptr]
+        kind = np.select([on, ends_on, w.par[ptr] < 0, hot], [CYCLE, UNDER, ROOTED, OPEN], DETACHED)
         opened = kind == OPEN
-        head = np.where(ends_on, least[end], w.node[end])
-        # least id of the segment, for cycles through several blocks
-        low = w.node.copy()
+        low = w.node.copy()  # least id of the segment, for cycles through several blocks
         if opened.any():
             p = np.where(on, np.arange(w.n), w.up)
             for _ in range(ceil(log2(w.n + 1)) + 1):
                 low = np.minimum(low, low[p])
                 p = p[p]
-        names = w.names
-        take = lambda code, ok: names.take(pa.array(code, mask=~ok))
+        take = lambda code, ok: w.names.take(pa.array(code, mask=~ok))
+        want = t.column("want").to_numpy(zero_copy_only=False)
+        lines = ((kind == ROOTED) & (want | hot)) | opened if paths else np.zeros(w.n, bool)
+        steps = np.where(on, 0, off)
         cols = {
-            "run_id": t.column("run_id"), "block": t.column("block"), "shard_id": t.column("shard_id"), "parent_id": t.column("parent_id"),
-            "kind": pa.array(kind.astype(object), pa.string()), "head_id": names.take(pa.array(head)), "steps": pa.array(np.where(on, 0, off)),
-            "ext": take(np.maximum(w.par[end], 0), opened), "least": take(low, opened),
+            **{c: t.column(c) for c in ("run_id", "block", "shard_id", "parent_id", "want")}, "kind": _text(kind), "head_id": w.names.take(pa.array(np.where(ends_on, least[ptr], w.node[ptr]))), "steps": pa.array(steps),
+            "below": pa.array(w.below(steps, np.ones(w.n))), "ext": take(np.maximum(w.par[ptr], 0), opened), "least": take(low, opened), "path": w.segments(on, lines),
         }
-        if paths:
-            cols["path"] = w.segments(on, (kind == ROOTED) | opened).cast(pa.list_(pa.string()))
         return pa.table(cols)
 
     return f
 
 
 def _again(paths: bool):
-    """Second pass over blocks of hot runs: rows carry what the merge found for their exit (e_*) and for themselves (on_cycle)."""
+    """Second pass over blocks of split runs: rows carry what the merge found for their exit (e_*) and for themselves (cycle_head, extra)."""
 
     def f(t: pa.Table) -> pa.Table:
         w = _Forest(t)
-        flag = pc.fill_null(t.column("on_cycle"), False).to_numpy(zero_copy_only=False)
-        ptr, off, on, least = w.solve(flag)
-        n = w.n
-        # the cycle's least id reaches all its members of the block from the flagged ones
-        names = [x for x in t.column("cycle_head").to_pylist()]
-        known: list = [None] * n
-        for i in np.flatnonzero(flag):
-            j = i
-            while known[j] is None:
-                known[j] = names[i]
-                j = w.up[j]
-        text = w.names.to_pylist()
-        kinds, heads, steps = [], [], []
-        e = {c: t.column(c).to_pylist() for c in ("e_kind", "e_head", "e_steps", "ext")}
-        prefix = t.column("e_path").to_pylist() if paths else None
-        seg = w.segments(on, np.ones(n, bool)).to_pylist() if paths else None
-        out_paths = []
-        for i in range(n):
-            j = ptr[i]
-            if on[j]:
-                kinds.append(CYCLE if on[i] else UNDER)
-                heads.append(known[j] or text[least[j]])
-                steps.append(int(off[i]) if not on[i] else 0)
-            elif w.par[j] < 0:
-                kinds.append(ROOTED), heads.append(text[w.node[j]]), steps.append(int(off[i]))
-            elif e["e_kind"][j] is None:
-                kinds.append(DETACHED), heads.append(text[w.node[j]]), steps.append(int(off[i]))
-            else:
-                k = e["e_kind"][j]
-                kinds.append(UNDER if k == CYCLE else k), heads.append(e["e_head"][j]), steps.append(int(off[i]) + 1 + e["e_steps"][j])
-            if paths:
-                out_paths.append(([*(prefix[j] or []), *seg[i]] if w.par[j] >= 0 else seg[i]) if kinds[-1] == ROOTED else None)
-        cols = {c: t.column(c) for c in ("run_id", "block", "shard_id", "parent_id")} | {"kind": pa.array(kinds, pa.string()), "head_id": pa.array(heads, pa.string()), "steps": pa.array(steps, pa.int64()), "ext": pa.nulls(n, pa.string()), "least": pa.nulls(n, pa.string())}
-        if paths:
-            cols["path"] = pa.array(out_paths, pa.list_(pa.string()))
-        return pa.table(cols)
+        cycle_head = t.column("cycle_head").combine_chunks()
+        ptr, off, on, least, told = w.solve(pc.is_valid(cycle_head).to_numpy(zero_copy_only=False))
+        end = pa.array(ptr)
+        e_kind = t.column("e_kind").combine_chunks().take(end)
+        ek = e_kind.to_numpy(zero_copy_only=False)
+        gone = pc.is_null(e_kind).to_numpy(zero_copy_only=False)
+        ends_on = on[ptr]
+        here = w.par[ptr] < 0
+        beyond = ~ends_on & ~here & ~gone
+        kind = np.select([on, ends_on, here, gone, ek == CYCLE], [CYCLE, UNDER, ROOTED, DETACHED, UNDER], ek.astype(object))
+        mine = w.names.take(pa.array(np.where(ends_on, least[ptr], w.node[ptr])))
+        ring = cycle_head.take(pa.array(np.maximum(told[ptr], 0), mask=~ends_on | (told[ptr] < 0)))
+        far = t.column("e_head").combine_chunks().take(pa.array(ptr, mask=~beyond))
+        more = pc.fill_null(t.column("e_steps").combine_chunks().take(end), 0).to_numpy(zero_copy_only=False)
+        steps = np.where(on, 0, off)
+        extra = pc.fill_null(t.column("extra").combine_chunks(), 0).to_numpy(zero_copy_only=False)
+        cols = {
+            **{c: t.column(c) for c in ("run_id", "shard_id", "parent_id", "want")}, "kind": _text(kind), "head_id": pc.coalesce(ring, far, mine), "steps": pa.array(np.where(beyond, steps + more + 1, steps)), "below": pa.array(w.below(steps, 1 + extra)),
+        }
+        if not paths:
+            return pa.table(cols | {"path": pa.nulls(w.n, pa.list_(pa.string()))})
+        lines = (kind == ROOTED) & t.column("want").to_numpy(zero_copy_only=False)
+        seg = w.segments(on, lines)
+        prefix = t.column("e_path").combine_chunks().take(pa.array(ptr, mask=~(lines & beyond)))
+        return pa.table(cols | {"path": _joined(prefix, seg)})
 
     return f
 
 
-def _merge(local: DataFrame, paths: bool) -> DataFrame:
-    """(run_id, t, kind, head, steps, path, cycle_head) of the records that other blocks point to.
+def _joined(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Lists of `a` (null as empty) followed by those of `b`, by one gather."""
+    a = pc.fill_null(a, pa.scalar([], a.type)) if a.null_count else a
+    la, lb = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    va, vb = a.flatten(), b.flatten()
+    start = np.r_[0, np.cumsum(la + lb)]
+    out = np.zeros(start[-1], np.int64)
+    spread = lambda first, size: np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+    out[spread(start[:-1], la)] = np.arange(len(va))
+    out[spread(start[:-1] + la, lb)] = len(va) + np.arange(len(vb))
+    return pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.concat_arrays([va, vb]).take(pa.array(out)))
 
-    Each round joins every open segment with the segment it points to, so their length doubles; after log2 of their
-    number all that is still open runs into a cycle. Distributed throughout: keys are single records, unique on the
-    joined side.
+
+def _merge(local: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame]:
+    """What the blocks of split runs tell each other.
+
+    First (run_id, t, kind, head, steps, path, cycle_head) of the records that other blocks point to; then (run_id, t,
+    extra), the records of other blocks below them. Each round joins every open segment with the segment it points to,
+    so their length doubles; after log2 of their number all that is still open runs into a cycle. Distributed
+    throughout: keys are single records, unique on the joined side.
     """
     wanted = local.where("ext is not null").select("run_id", F.col("ext").alias("t")).distinct()
     path = F.col("path") if paths else F.lit(None).cast("array<string>")
@@ -247,37 +269,70 @@ def _merge(local: DataFrame, paths: bool) -> DataFrame:
                 "cycle_head",
             )
         )
-    return walk
+    # trees below exits: sums over segments of doubled length, as far as they hang on roots
+    exits = local.where((F.col("kind") == OPEN) & (F.col("shard_id") == F.col("head_id"))).select("run_id", F.col("shard_id").alias("e"), F.col("below").alias("total"), F.col("ext").alias("t"))
+    rooted = walk.where(F.col("kind") == ROOTED).select("run_id", "t")
+    onward = start.join(rooted, ["run_id", "t"], "left_semi").select("run_id", "t", F.when(F.col("kind") == OPEN, F.col("head")).alias("up"))
+    tree = cut(exits.join(onward, ["run_id", "t"]))
+    for _ in range(rounds):
+        if tree.where("up is not null").isEmpty():
+            break
+        got = tree.where("up is not null").groupBy("run_id", F.col("up").alias("e")).agg(F.sum("total").alias("more"))
+        nxt = tree.select("run_id", F.col("e").alias("up"), F.col("up").alias("up2"))
+        tree = cut(tree.join(got, ["run_id", "e"], "left").join(nxt, ["run_id", "up"], "left").select("run_id", "e", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), "t", F.col("up2").alias("up")))
+    return walk, tree.groupBy("run_id", "t").agg(F.sum("total").alias("extra"))
 
 
-def build(meta: DataFrame, paths: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(run_id, shard_id, parent_id, kind, head_id, steps[, path]) of every distinct record.
+def _blocks(nodes: DataFrame, block_rows: int) -> DataFrame | None:
+    """Nodes with `block` and `hot`, the latter for runs of several blocks; None if there is no such run.
+
+    A block holds neighbouring ids, by the number at their end, as links mostly join neighbours. Where a stretch holds
+    more than a block (equal numbers, or none at all), it is cut again by hash, so blocks are bounded whatever the ids.
+    """
+    hot = nodes.groupBy("run_id").count().where(F.col("count") > block_rows).select("run_id").withColumn("hot", F.lit(True))
+    hot = cut(hot)
+    if hot.isEmpty():
+        return None
+    number = F.regexp_extract("shard_id", r"(\d{1,15})$", 1)
+    rows = nodes.join(hot, "run_id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    rows = rows.withColumn("stretch", F.when(~F.col("hot"), 0).when(number != "", F.floor(number.cast("bigint") / block_rows)).otherwise(-1).cast("bigint"))
+    sizes = rows.where("hot").groupBy("run_id", "stretch").agg(F.ceil(F.count("*") / block_rows).cast("bigint").alias("parts"))
+    part = F.pmod(F.pmod(F.xxhash64("shard_id"), F.coalesce("parts", F.lit(1))), F.lit(_PARTS))
+    return rows.join(sizes, ["run_id", "stretch"], "left").withColumn("block", (F.col("stretch") * _PARTS + part).cast("bigint")).drop("stretch", "parts")
+
+
+def build(meta: DataFrame, paths: bool = False, block_rows: int = BLOCK_ROWS, starts: DataFrame | None = None) -> DataFrame:
+    """(run_id, shard_id, parent_id, kind, head_id, steps, below[, path]) of every distinct record.
 
     kind: `rooted` (head_id is the root, steps the depth), `cycle`, `under_cycle` (head_id is the least id on the
     cycle, steps the links to its first record), `detached` (head_id is the last record, whose parent_id names no
-    record). path: the ids from the root to the record; null where there is no root. An empty table gives no rows.
-    Runs of more than `block_rows` records are cut into blocks of neighbouring ids, so no task holds a whole hot run.
+    record). below: records of the subtree, itself included; null where there is no root. path: the ids from the root
+    to the record; null where there is no root; only for the (run_id, shard_id) of `starts`, if given. An empty table
+    gives no rows. Runs of more than `block_rows` records are cut into blocks, so no task holds a whole hot run.
     """
-    nodes = cut(resolve_parents(meta))
-    hot = cut(nodes.groupBy("run_id").count().where(F.col("count") > block_rows))
-    keep = ["run_id", "shard_id", "parent_id", "kind", "head_id", F.col("steps").cast("int").alias("steps"), *([F.when(F.col("kind") == ROOTED, F.col("path")).alias("path")] if paths else [])]
-    if hot.isEmpty():
+    nodes = resolve_parents(meta)
+    if starts is None:
+        nodes = cut(nodes.withColumn("want", F.lit(True)))
+    else:
+        nodes = cut(nodes.join(starts.select("run_id", "shard_id").distinct().withColumn("want", F.lit(True)), ["run_id", "shard_id"], "left").withColumn("want", F.coalesce("want", F.lit(False))))
+    rooted = F.col("kind") == ROOTED
+    keep = ["run_id", "shard_id", "parent_id", "kind", "head_id", F.col("steps").cast("int").alias("steps"), F.when(rooted, F.col("below")).alias("below"), *([F.when(rooted & F.col("want"), F.col("path")).alias("path")] if paths else [])]
+    parts = _blocks(nodes, block_rows)
+    if parts is None:
         flat = nodes.withColumns({"block": F.lit(0).cast("bigint"), "hot": F.lit(False)})
-        return map_groups(flat, ["run_id", "block"], _local(paths), _schema(paths)).select(*keep)
-    number = F.regexp_extract("shard_id", r"(\d{1,15})$", 1)
-    block = F.when(number != "", F.floor(number.cast("bigint") / block_rows)).otherwise(-1 - F.pmod(F.xxhash64("shard_id"), F.ceil(F.col("count") / block_rows)))
-    parts = nodes.join(hot, "run_id", "left").withColumns({"hot": F.col("count").isNotNull(), "block": F.when(F.col("count").isNull(), 0).otherwise(block).cast("bigint")}).drop("count")
-    local = cut(map_groups(parts, ["run_id", "block"], _local(paths), _schema(paths)))
+        return map_groups(flat, ["run_id", "block"], _local(paths), _LOCAL).select(*keep)
+    local = cut(map_groups(parts, ["run_id", "block"], _local(paths), _LOCAL))
     # exits that no record answers end their lines
     gaps = local.where("ext is not null").select("run_id", "ext").distinct().join(local.select("run_id", F.col("shard_id").alias("ext")), ["run_id", "ext"], "left_anti").withColumn("gap", F.lit(True))
     gone = F.col("gap").isNotNull()
     local = cut(local.join(gaps, ["run_id", "ext"], "left").withColumns({"kind": F.when(gone, F.lit(DETACHED)).otherwise(F.col("kind")), "ext": F.when(~gone, F.col("ext"))}).drop("gap"))
-    found = _merge(local, paths)
-    mine = found.where("cycle_head is not null").select("run_id", F.col("t").alias("shard_id"), F.lit(True).alias("on_cycle"), "cycle_head")
+    found, extra = _merge(local, paths)
+    split = cut(local.where(F.col("kind") == OPEN).select("run_id").distinct())
+    mine = found.where("cycle_head is not null").select("run_id", F.col("t").alias("shard_id"), "cycle_head")
     exits = found.select("run_id", F.col("t").alias("ext"), F.col("kind").alias("e_kind"), F.col("head").alias("e_head"), F.col("steps").alias("e_steps"), F.col("path").alias("e_path"))
-    split = local.where(F.col("kind") == OPEN).select("run_id").distinct()
-    rows = local.join(split, "run_id", "left_semi").select("run_id", "block", "shard_id", "parent_id", "ext").join(mine, ["run_id", "shard_id"], "left").join(exits, ["run_id", "ext"], "left")
-    second = map_groups(rows, ["run_id", "block"], _again(paths), _schema(paths))
+    rows = local.join(split, "run_id", "left_semi").select("run_id", "block", "shard_id", "parent_id", "want", "ext").join(mine, ["run_id", "shard_id"], "left")
+    rows = rows.join(exits, ["run_id", "ext"], "left").join(extra.withColumnRenamed("t", "shard_id"), ["run_id", "shard_id"], "left")
+    second = map_groups(rows, ["run_id", "block"], _again(paths), _SECOND)
     return local.join(split, "run_id", "left_anti").select(*keep).unionByName(second.select(*keep))
 
 
@@ -287,11 +342,9 @@ def hierarchy(meta: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     depth is 0 for roots; root_id, depth and path are null where the line of parents reaches no root (state tells why).
     n_descendants counts the records below a rooted record; the records themselves come from `descendants`.
     """
-    full = cut(build(meta, True, block_rows))
-    below = full.where(F.col("kind") == ROOTED).select("run_id", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("shard_id")).groupBy("run_id", "shard_id").agg(F.count("*").alias("n"))
     ok = F.col("kind") == ROOTED
-    return full.join(below, ["run_id", "shard_id"], "left").select(
-        "run_id", "shard_id", "parent_id", F.col("kind").alias("state"), F.when(ok, F.col("head_id")).alias("root_id"), F.when(ok, F.col("steps")).alias("depth"), "path", F.when(ok, F.coalesce("n", F.lit(0))).alias("n_descendants")
+    return build(meta, True, block_rows).select(
+        "run_id", "shard_id", "parent_id", F.col("kind").alias("state"), F.when(ok, F.col("head_id")).alias("root_id"), F.when(ok, F.col("steps")).alias("depth"), "path", (F.col("below") - 1).alias("n_descendants")
     )
 
 

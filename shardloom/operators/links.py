@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import blank_to_null
+from ..cluster import blank_to_null, cut
 from ..sources import corpus
 from . import hierarchy
 
@@ -85,14 +85,13 @@ def hierarchy_valid(rec: DataFrame) -> DataFrame:
 def neighbours(rec: DataFrame, block: int = 100_000) -> DataFrame:
     """Records with `before` and `after`, the ids next to theirs in the run by number of the id.
 
-    Lag and lead run within blocks of ids; the edges of blocks are matched through one row a block, so a hot run is
-    never sorted in one task. Ids without a number come last, by text.
+    The records are cut by sampled ranges of (run, number, id), so blocks are bounded whatever the ids; lag and lead run
+    within the blocks of a run, whose edges are matched through one row a block. Ids without a number come last, by text.
     """
-    from pyspark.sql import Window
-
     digits = F.regexp_extract("shard_id", r"(\d{1,15})", 1)
-    num = F.when(digits != "", digits.cast("bigint"))
-    rows = rec.withColumn("num_", F.coalesce(num, F.lit((1 << 62)))).withColumn("block_", F.when(digits != "", F.floor(F.col("num_") / block)).otherwise(F.lit(1 << 40)).cast("bigint"))
+    rows = cut(rec.withColumn("num_", F.coalesce(F.when(digits != "", digits.cast("bigint")), F.lit(1 << 62))))
+    parts = max(1, -(-rows.count() // block))
+    rows = cut(rows.repartitionByRange(parts, "run_id", "num_", "shard_id").withColumn("block_", F.spark_partition_id()))
     w = Window.partitionBy("run_id", "block_").orderBy("num_", "shard_id")
     local = rows.withColumns({"before": F.lag("shard_id").over(w), "after": F.lead("shard_id").over(w)})
     ends = rows.groupBy("run_id", "block_").agg(F.min_by("shard_id", F.struct("num_", "shard_id")).alias("first_"), F.max_by("shard_id", F.struct("num_", "shard_id")).alias("last_"))
@@ -134,11 +133,49 @@ def update(rec: DataFrame, changes: DataFrame, fields: tuple[str, ...] = ("paren
     return rec.join(named, KEY, "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in new}).drop(*(f"new_{c}" for c in new))
 
 
+def detach(rec: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Records after undoing each (run_id, parent_id, child_id) of `pairs`: the child leaves the list, and names no parent if it named this one."""
+    gone = pairs.groupBy("run_id", F.col("parent_id").alias("shard_id")).agg(F.collect_set("child_id").alias("gone"))
+    lost = pairs.select("run_id", F.col("child_id").alias("shard_id"), "parent_id").distinct().withColumn("undone", F.lit(True))
+    j = rec.join(gone, KEY, "left").join(lost, [*KEY, "parent_id"], "left")
+    kept = F.when(F.col("gone").isNull(), F.col("child_ids")).otherwise(F.filter("child_ids", lambda c: ~F.coalesce(F.array_contains("gone", c), F.lit(False))))
+    return j.withColumns({"child_ids": kept, "parent_id": F.when(F.col("undone").isNull(), F.col("parent_id"))}).drop("gone", "undone")
+
+
+def _forward(rec: DataFrame, close: bool = False) -> DataFrame:
+    """Next links as parent links; close: those that name no record are dropped."""
+    rows = rec.select("run_id", "shard_id", F.col("next_shard").alias("parent_id"))
+    if close:
+        known = rec.select("run_id", F.col("shard_id").alias("parent_id"), F.lit(True).alias("known"))
+        rows = rows.join(known, ["run_id", "parent_id"], "left").select("run_id", "shard_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"))
+    return rows.withColumn("child_ids", F.array().cast("array<string>"))
+
+
 def chains(rec: DataFrame) -> DataFrame:
-    """(run_id, shard_id, length, path): from each record along next links up to null, an unknown id (left out) or a repetition (null path)."""
-    as_tree = rec.select("run_id", "shard_id", F.col("next_shard").alias("parent_id"), F.array().cast("array<string>").alias("child_ids"))
-    full = hierarchy.build(as_tree, True)
-    return full.select(*KEY, F.when(F.col("kind").isin("rooted", "detached"), F.col("steps") + 1).cast("bigint").alias("length"), F.reverse("path").alias("path"))
+    """(run_id, shard_id, next_id, last_id, ending, position, length): where the line of next links from each record leads.
+
+    ending: `end` at a record without next, `unknown` at one whose next names no record, `ring` at a repetition (last_id
+    is then the least id of the ring). position: links to last_id or into the ring. length: ids of the chain from the
+    record on, the unknown one included, each once. One row a record; no chain is written out (see `chain_members`).
+    """
+    full = cut(hierarchy.build(_forward(rec)))
+    k = F.col("kind")
+    rings = full.where(k == hierarchy.CYCLE).groupBy("run_id", "head_id").agg(F.count("*").alias("ring"))
+    ending = F.when(k == hierarchy.ROOTED, "end").when(k == hierarchy.DETACHED, "unknown").otherwise("ring")
+    length = F.col("steps") + F.when(ending == "end", 1).when(ending == "unknown", 2).otherwise(F.col("ring"))
+    return full.join(rings, ["run_id", "head_id"], "left").select(*KEY, F.col("parent_id").alias("next_id"), F.col("head_id").alias("last_id"), ending.alias("ending"), F.col("steps").cast("bigint").alias("position"), length.cast("bigint").alias("length"))
+
+
+def chain_members(rec: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(run_id, start_id, position, shard_id): the records along the next links of each start, one row each.
+
+    starts: (run_id, shard_id); without, the records that no next link names, so every chain is listed once and none of
+    its suffixes. Unknown ids at the end are left out, chains into a ring give no rows.
+    """
+    if starts is None:
+        starts = rec.select(*KEY).join(rec.select("run_id", F.col("next_shard").alias("shard_id")).where("shard_id is not null").distinct(), KEY, "left_anti")
+    full = hierarchy.build(_forward(rec, True), True, starts=starts).where("path is not null")
+    return full.select("run_id", F.col("shard_id").alias("start_id"), F.posexplode(F.reverse("path")).alias("position", "shard_id"))
 
 
 def cycles(rec: DataFrame) -> DataFrame:
@@ -147,6 +184,22 @@ def cycles(rec: DataFrame) -> DataFrame:
     return ring.groupBy("run_id", "head_id").agg(F.count("*").alias("members"))
 
 
+def references_in_data(nodes: DataFrame, rec: DataFrame) -> DataFrame:
+    """(doc_id, ref) of the references to other shards at the first level of the values of a document that name no record of its run.
+
+    nodes: of documents `run_id/shard_id`; a reference is the text under `_shard_ref` of the root or of one of its values.
+    """
+    n = nodes.where("key = '_shard_ref' and depth <= 2 and scalar_type = 'str'").select("doc_id", F.split("doc_id", "/")[0].cast("bigint").alias("run_id"), F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<string>")[0].alias("ref"))
+    return n.join(rec.select("run_id", F.col("shard_id").alias("ref")), ["run_id", "ref"], "left_anti").select("doc_id", "ref").distinct()
+
+
+def predicates(rec: DataFrame) -> DataFrame:
+    """(run_id, shard_id, has_children, is_root, is_leaf, depth, place) of each record; a null path has depth 0 and place `root`."""
+    kids = F.size("child_ids") > 0
+    p = F.coalesce("original_path", F.array().cast("array<string>"))
+    return rec.select(*KEY, kids.alias("has_children"), F.col("parent_id").isNull().alias("is_root"), (~kids).alias("is_leaf"), F.size(p).cast("bigint").alias("depth"), F.when(F.size(p) > 0, F.array_join(p, ".")).otherwise("root").alias("place"))
+
+
 def integrity(rec: DataFrame) -> DataFrame:
     """(run_id, shards, relationships, sequential_links, orphans, errors, cycles, valid) of each run, by the strict checks."""
     base = rec.groupBy("run_id").agg(

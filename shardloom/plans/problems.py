@@ -13,9 +13,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.unrooted(table(spark, d, "shard_meta"))
 
 
+def p1_merged(spark: SparkSession, d: str) -> DataFrame:
+    """All records by blocks of 16, so that most runs are put together from several forests; compared to the same rule as the others."""
+    full = hierarchy.build(table(spark, d, "shard_meta"), block_rows=16)
+    return full.select("run_id", "shard_id", "kind", "head_id", "steps", (F.col("below") - 1).alias("n_descendants"))
+
+
 def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    h = hierarchy.hierarchy(table(spark, d, "shard_meta"))
-    return h.withColumn("path", F.array_join("path", "\n")).withColumn("n_descendants", F.col("n_descendants").cast("bigint"))
+    return hierarchy.hierarchy(table(spark, d, "shard_meta")).withColumn("path", F.array_join("path", "\n"))
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +82,7 @@ judged as (
   from refs r left join st using (run_id, ref_id) left join rm using (run_id, ref_id) where r.ref_id <> ''
 )"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p2_flat, p4_found, p4_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p1_hierarchy, p1_descendants, p2_found, p2_flat, p4_found, p4_counts)}
 
 SQL = {
     "p1_found": _UP
@@ -86,6 +91,13 @@ select run_id, shard_id, case when p is null then '' when list_contains(line[:-2
   case when list_contains(line[:-2], cur) then list_min(line[list_position(line, cur):]) else cur end as head_id,
   cast(case when list_contains(line[:-2], cur) then list_position(line, cur) - 1 else steps end as int) as steps
 from ends where p is not null""",
+    "p1_merged": _UP
+    + """,
+below as (select run_id, shard_id, count(*) as n from (select run_id, unnest(line[2:]) as shard_id from ends where p is null) group by all)
+select e.run_id, e.shard_id, case when p is null then 'rooted' when list_contains(line[:-2], cur) then if(list_position(line, cur) = 1, 'cycle', 'under_cycle') else 'detached' end as kind,
+  case when list_contains(line[:-2], cur) then list_min(line[list_position(line, cur):]) else cur end as head_id,
+  cast(case when list_contains(line[:-2], cur) then list_position(line, cur) - 1 else steps end as int) as steps, if(p is null, coalesce(b.n, 0), null) as n_descendants
+from ends e left join below b on b.run_id = e.run_id and b.shard_id = e.shard_id""",
     "p1_hierarchy": _UP
     + """,
 below as (select run_id, shard_id, count(*) as n from (select run_id, unnest(line[2:]) as shard_id from ends where p is null) group by all)

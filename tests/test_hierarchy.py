@@ -78,3 +78,29 @@ def test_empty_and_descendants(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {(x.shard_id, x.descendant_id, x.distance) for x in H.descendants(df).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
     assert {(x.shard_id, x.state, x.root_id, x.depth, x.n_descendants) for x in H.hierarchy(df).collect()} == {("a", "rooted", "a", 0, 2), ("b", "rooted", "a", 1, 1), ("c", "rooted", "a", 2, 0), ("d", "cycle", None, None, None)}
+
+
+def test_subtrees_over_blocks(spark):
+    rows = make(11, 6, 80)
+    rows = [x for x in rows if x[1] is not None]
+    line = {k: v[3] for k, v in brute(rows).items()}
+    want = {k: (sum(k[1] in (v or [])[:-1] for o, v in line.items() if o[0] == k[0]) if line[k] else None) for k in line}
+    for block in (9, 512):
+        got = {(x.run_id, x.shard_id): x.n_descendants for x in H.hierarchy(spark.createDataFrame(rows, SCHEMA), block).collect()}
+        assert got == want
+
+
+def test_blocks_are_bounded_whatever_the_ids(spark):
+    ids = spark.range(3000).selectExpr("1L as run_id", "concat('p', id, '_shard_001') as shard_id", "if(id > 0, concat('p', (id - 1) div 2, '_shard_001'), null) as parent_id", "cast(null as array<string>) as child_ids")
+    sizes = [r["count"] for r in H._blocks(H.resolve_parents(ids), 100).groupBy("block").count().collect()]
+    assert len(sizes) > 25 and max(sizes) < 160
+    top = H.build(ids, block_rows=100).orderBy("steps").first()
+    assert (top.below, top.kind) == (3000, "rooted")
+
+
+def test_paths_of_some_records(spark):
+    df = spark.range(60).selectExpr("1L as run_id", "format_string('s_%02d', id) as shard_id", "if(id > 0, format_string('s_%02d', id - 1), null) as parent_id", "cast(null as array<string>) as child_ids")
+    starts = spark.createDataFrame([(1, "s_40"), (1, "nobody")], "run_id bigint, shard_id string")
+    for block in (7, 512):
+        got = {r.shard_id: r.path for r in H.build(df, True, block, starts).collect()}
+        assert len(got) == 60 and got.pop("s_40") == [f"s_{i:02d}" for i in range(41)] and set(map(type, got.values())) == {type(None)}

@@ -41,7 +41,8 @@ def test_repair_and_graph(spark):
     assert fixed[1, "shard_001"].child_ids == ["shard_002", "shard_003"] and fixed[1, "shard_003"].next_shard is None and fixed[1, "shard_004"].parent_id is None
     assert {(r.run_id, r.head_id, r.members) for r in L.cycles(rec).collect()} == {(2, "x", 1), (3, "shard_001", 2)}
     assert {r.run_id: r.valid for r in L.integrity(rec).collect()} == {1: False, 2: False, 3: False}
-    assert {(r.run_id, r.shard_id): r.length for r in L.chains(rec).collect()}[1, "shard_002"] == 2
+    chain = {(r.run_id, r.shard_id): (r.last_id, r.ending, r.position, r.length) for r in L.chains(rec).collect()}
+    assert chain[1, "shard_002"] == ("shard_003", "unknown", 1, 3) and chain[1, "shard_001"] == ("shard_001", "end", 0, 1)  # the unknown id belongs to the chain
     assert L.order_valid(rec).collect()[0].valid is False
     assert {(r.shard_id, r.previous_shard, r.next_shard) for r in L.relink(rec).collect()} == {("shard_002", None, "shard_003"), ("shard_003", "shard_002", None)}
     kids = [(r.position, r.child_id) for r in L.children(rec).where("run_id = 1").orderBy("position").collect()]
@@ -53,6 +54,25 @@ def test_repair_and_graph(spark):
     assert {(r.run_id, r.shard_id): r.data_type for r in up.collect()}[1, "shard_004"] == "dict"
 
 
+def test_chains(spark):
+    nxt = {"a": "b", "b": "c", "c": None, "x": "b", "l": "gone", "r1": "r2", "r2": "r3", "r3": "r2", "self": "self"}
+    rec = L.records(spark.createDataFrame([row(1, k, nxt=v) for k, v in nxt.items()], SCHEMA))
+    got = {r.shard_id: (r.last_id, r.ending, r.position, r.length) for r in L.chains(rec).collect()}
+    assert got == {"a": ("c", "end", 2, 3), "b": ("c", "end", 1, 2), "c": ("c", "end", 0, 1), "x": ("c", "end", 2, 3), "l": ("l", "unknown", 0, 2), "r1": ("r2", "ring", 1, 3), "r2": ("r2", "ring", 0, 2), "r3": ("r2", "ring", 0, 2), "self": ("self", "ring", 0, 1)}
+    lists = {}
+    for r in L.chain_members(rec).orderBy("position").collect():
+        lists.setdefault(r.start_id, []).append(r.shard_id)
+    assert lists == {"a": ["a", "b", "c"], "x": ["x", "b", "c"], "l": ["l"]}
+    one = L.chain_members(rec, spark.createDataFrame([(1, "b")], "run_id bigint, shard_id string"))
+    assert [(r.start_id, r.shard_id) for r in one.orderBy("position").collect()] == [("b", "b"), ("b", "c")]
+
+
+def test_detach(spark):
+    rec = L.records(spark.createDataFrame(ROWS, SCHEMA))
+    got = {(r.run_id, r.shard_id): r for r in L.detach(rec, spark.createDataFrame([(1, "shard_001", "shard_002"), (1, "shard_001", "gone"), (1, "nobody", "shard_003")], "run_id bigint, parent_id string, child_id string")).collect()}
+    assert len(got) == 7 and got[1, "shard_001"].child_ids == ["shard_003"] and got[1, "shard_002"].parent_id is None and got[1, "shard_003"].parent_id == "shard_001"
+
+
 def test_neighbours_over_blocks(spark):
     rows = [row(1, f"shard_{i:03d}", kind="list") for i in range(1, 30)] + [row(1, "odd", kind="list")]
     rec = L.records(spark.createDataFrame(rows, SCHEMA))
@@ -71,5 +91,5 @@ def test_recover(spark):
 
 def test_empty(spark):
     rec = L.records(spark.createDataFrame([], SCHEMA))
-    for f in (L.record_issues, L.link_issues, L.repair, L.cycles, L.integrity, L.summary, L.chains, L.edges, L.order_valid, L.suggestions, L.hierarchy_valid):
+    for f in (L.record_issues, L.link_issues, L.repair, L.cycles, L.integrity, L.summary, L.chains, L.chain_members, L.predicates, L.edges, L.order_valid, L.suggestions, L.hierarchy_valid):
         assert f(rec).collect() == []
