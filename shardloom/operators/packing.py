@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from functools import reduce
+from math import floor
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,46 +34,147 @@ def fold(items: DataFrame, keys: list[str], order: str, size: str, limit: int, p
     return rows.select(*keys, F.col("items.o").alias(order), F.col("items.s").alias(size), F.col("chunks").alias("chunk"))
 
 
+class _Block:
+    """Neighbouring items of one group, packed from every state that may hold at their beginning.
+
+    `next[i]` is the item that ends a chunk begun by item i. Chunks begun at different items soon coincide, so the state
+    at the end (bytes of the open chunk, chunks begun) is a step function of the bytes open at the beginning, with as
+    many steps as items fit one chunk at most.
+    """
+
+    def __init__(self, sizes: np.ndarray, cap: int, zero_cap: int | None):
+        n = self.n = len(sizes)
+        self.sums = p = np.r_[0, np.cumsum(sizes)]
+        self.cap, self.zero_cap, self.sizes = cap, zero_cap, sizes
+        first = np.where(sizes > 0, np.arange(n), n)
+        self.positive = np.r_[np.minimum.accumulate(first[::-1])[::-1], n].astype(np.int64)  # first item of any bytes from i on
+        me = np.arange(n)
+        self.next = self._ends(me, p[:-1])
+        at, self.count = np.where(self.next < n, self.next, me), (self.next < n).astype(np.int64)
+        while not np.array_equal(at, at[at]):
+            self.count = self.count + self.count[at]
+            at = at[at]
+        self.exit = p[n] - p[at]
+
+    def _ends(self, begin: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """The first item that a chunk open from `begin` on, with `base` bytes of the prefix not in it, has no room for."""
+        n, p = self.n, self.positive[begin]
+        j = np.maximum(np.searchsorted(self.sums, base + self.cap, "right") - 1, p + 1)
+        j = np.minimum(j, n)
+        if self.zero_cap is not None:
+            inner = np.minimum(p, max(n - 1, 0))
+            j = np.where((p > begin) & (p < n) & (self.sizes[inner] > self.zero_cap), p, j)
+        return np.where(p >= n, n, j)
+
+    def first_break(self, used: int) -> int:
+        """The item that a chunk of `used` bytes before the block has no room for; n if it takes them all."""
+        if used > 0:
+            return min(max(int(np.searchsorted(self.sums, self.cap - used, "right")) - 1, 0), self.n)
+        p = int(self.positive[0])
+        if p < self.n and self.zero_cap is not None and self.sizes[p] > self.zero_cap:
+            return p
+        return int(self._ends(np.zeros(1, np.int64), np.zeros(1, np.int64))[0]) if p < self.n else self.n
+
+    def table(self) -> dict:
+        """Step function over the bytes open at the beginning: from lo on, (exit, chunks begun); exit -1: all is taken up."""
+        j = np.arange(self.n - 1, -1, -1)
+        lo = np.maximum(1, self.cap - self.sums[j + 1] + 1)
+        j, lo = j[lo < self.cap + 2], lo[lo < self.cap + 2]
+        last = np.r_[lo[1:] != lo[:-1], True]
+        j, lo = j[last], lo[last]
+        out, count = self.exit[j], self.count[j] + 1
+        if self.cap - self.sums[-1] >= 1:
+            lo, out, count = np.r_[1, lo], np.r_[-1, out], np.r_[0, count]
+        keep = np.r_[True, (out[1:] != out[:-1]) | (count[1:] != count[:-1]) | (out[1:] < 0)]
+        k = self.first_break(0)
+        zero = (int(self.sums[-1]), 0) if k >= self.n else (int(self.exit[k]), int(self.count[k]) + 1)
+        return {"lo": lo[keep].tolist(), "exit": out[keep].tolist(), "count": count[keep].tolist(), "zero_exit": zero[0], "zero_count": zero[1], "total": int(self.sums[-1]), "first_exit": int(self.exit[0]), "first_count": int(self.count[0])}
+
+    def chunks(self, used: int) -> np.ndarray:
+        """Number of chunks begun up to each item, for `used` bytes open at the beginning (-1: the group begins here)."""
+        new = np.zeros(self.n, np.int64)
+        k = int(self.next[0]) if used < 0 else self.first_break(used)
+        while k < self.n:
+            new[k] = 1
+            k = int(self.next[k])
+        return np.cumsum(new)
+
+
+_TABLE = "lo array<bigint>, exit array<bigint>, count array<bigint>, zero_exit bigint, zero_count bigint, total bigint, first_exit bigint, first_count bigint"
+
+
+def _edges(t: pa.Table, names: list[str]) -> list[int]:
+    """Rows at which a new group of `names` begins, and the number of rows."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in names:
+        col = t.column(c).combine_chunks()
+        code = col.dictionary_encode(null_encoding="encode")
+        code = (code if isinstance(code, pa.DictionaryArray) else code.combine_chunks()).indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return [*np.flatnonzero(new).tolist(), t.num_rows]
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null; columns of `b` other than the keys are added."""
+    named = b.select(*(F.col(k).alias(f"{k}__") for k in keys), *(c for c in b.columns if c not in keys))
+    return a.join(named, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys]), how).drop(*(f"{k}__" for k in keys))
+
+
 def stream(items: DataFrame, keys: list[str], order: str, size: str, limit: int, policy: str = "fill", block: int = 1 << 17) -> DataFrame:
-    """The same for groups of any length: a group is cut into blocks of about `block` neighbouring items by its order.
+    """The same for groups of any length, with the same result.
 
-    Blocks are packed on their own (the first chunk of a block is never joined to the last of the one before), so no
-    task holds a whole hot group. With groups of one block the result is that of `fold`. `order` must be integral.
+    A group is cut into blocks of about `block` neighbouring items by its order. Next-fit over a block is a function of
+    the bytes open at its beginning; it is tabulated for each block of a long group, the tables are composed in order
+    over one row a block, and the blocks are packed again from the states found. So no task holds a whole hot group.
+    `order` must be integral; null sizes count 0; ties of `order` go by size; null keys form a group.
     """
     usable, fill = room(limit)
+    cap, zero_cap = {"fill": (fill, usable), "tight": (floor(limit * 0.9), None), "plain": (limit, None)}[policy]
     bounds = items.groupBy(*keys).agg(F.count("*").alias("n_"), F.min(order).alias("lo_"), F.max(order).alias("hi_"))
     parts = F.ceil(F.col("n_") / block)
-    blocked = items.join(bounds, keys).withColumn("block_", F.when(parts <= 1, 0).otherwise(F.floor((F.col(order) - F.col("lo_")) * parts / (F.col("hi_") - F.col("lo_") + 1))).cast("bigint"))
-    rows = blocked.select(*keys, "block_", F.col(order).cast("bigint").alias(order), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias(size))
+    at = F.when(parts <= 1, 0).otherwise(F.floor((F.col(order) - F.col("lo_")) * parts / (F.col("hi_") - F.col("lo_") + 1))).cast("bigint")
+    rows = _same(items, bounds, keys).select(*keys, at.alias("block_"), (parts > 1).alias("long_"), F.col(order).cast("bigint").alias(order), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias(size))
+    names = [*keys, "block_"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    in_order = lambda t: t.sort_by([(c, "ascending") for c in [*names, order, size]])
+
+    def tabulate(t: pa.Table) -> pa.Table:
+        t = in_order(t)
+        edge, sizes = _edges(t, names), t.column(size).to_numpy()
+        found = [_Block(sizes[a:b], cap, zero_cap).table() for a, b in zip(edge, edge[1:])]
+        lists = {f.split()[0]: pa.list_(pa.int64()) if "array" in f else pa.int64() for f in _TABLE.split(", ")}
+        head = t.select(names).take(pa.array(edge[:-1], pa.int64()))
+        return pa.table([*head.columns, *(pa.array([x[c] for x in found], k) for c, k in lists.items())], [*names, *lists])
+
+    def compose(batches):
+        now = used = base = None
+        for batch in batches:
+            entry, number = [], []
+            for x in batch.to_pylist():
+                key = tuple(x[k] for k in keys)
+                if key != now:
+                    now, used, base = key, -1, 0
+                entry.append(used), number.append(base)
+                if used < 0:
+                    used, base = x["first_exit"], x["first_count"]
+                elif used == 0:
+                    used, base = x["zero_exit"], base + x["zero_count"]
+                else:
+                    i = bisect_right(x["lo"], used) - 1
+                    used, base = (used + x["total"] if x["exit"][i] < 0 else x["exit"][i]), base + x["count"][i]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(entry, pa.int64()), pa.array(number, pa.int64())], [*names, "entry_", "base_"])
 
     def pack(t: pa.Table) -> pa.Table:
-        names = [*keys, "block_"]
-        t = t.sort_by([(c, "ascending") for c in [*names, order, size]])
-        code = np.zeros(t.num_rows, np.int64)
-        for c in names:
-            col = t.column(c).combine_chunks().dictionary_encode()
-            idx = (col if isinstance(col, pa.DictionaryArray) else col.combine_chunks()).indices.fill_null(-1).to_numpy()
-            code = np.unique(np.stack([code, idx]), axis=1, return_inverse=True)[1] if len(idx) else code
-        sizes = t.column(size).to_pylist()
-        out, at, used, last = [], 0, 0, None
-        for g, s in zip(code.tolist(), sizes):
-            if g != last:
-                at, used, last = 0, s, g
-            else:
-                total = used + s
-                new = (total > fill and used > 0) or total > usable if policy == "fill" else used > 0 and total > (limit * 0.9 if policy == "tight" else limit)
-                at, used = (at + 1, s) if new else (at, total)
-            out.append(at)
-        return t.append_column("in_block_", pa.array(out, pa.int64()))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    packed = map_groups(rows, [*keys, "block_"], pack, f"{fields}, in_block_ bigint")
-    # chunk numbers go on from block to block: offsets from one row a block
-    per = packed.groupBy(*keys, "block_").agg((F.max("in_block_") + 1).alias("chunks_"))
-    from pyspark.sql import Window
-
-    offset = F.coalesce(F.sum("chunks_").over(Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return packed.join(per.select(*keys, "block_", offset.alias("off_")), [*keys, "block_"]).select(*keys, order, size, (F.col("off_") + F.col("in_block_")).cast("bigint").alias("chunk"))
+        t = in_order(t)
+        edge, sizes, entry, base = _edges(t, names), t.column(size).to_numpy(), pc.fill_null(t.column("entry_"), -1).to_numpy(), pc.fill_null(t.column("base_"), 0).to_numpy()
+        out = [_Block(sizes[a:b], cap, zero_cap).chunks(int(entry[a])) + base[a] for a, b in zip(edge, edge[1:])]
+        return t.select([*keys, order, size]).append_column("chunk", pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+
+    tables = map_groups(rows.where("long_").drop("long_"), names, tabulate, f"{kinds}, {_TABLE}")
+    states = tables.repartition(*keys).sortWithinPartitions(*names).mapInArrow(compose, f"{kinds}, entry_ bigint, base_ bigint")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, order, size).schema)
+    return map_groups(_same(rows.drop("long_"), states, names, "left"), names, pack, f"{fields}, chunk bigint")
 
 
 def chunk_table(packed: DataFrame, keys: list[str], order: str, size: str) -> DataFrame:
@@ -81,4 +187,4 @@ def number(chunks: DataFrame, keys: list[str]) -> DataFrame:
     name = lambda n: F.format_string("shard_%03d", n)
     last = chunks.groupBy(*keys).agg(F.max("chunk").alias("last_"))
     c = F.col("chunk")
-    return chunks.join(last, keys).select(*chunks.columns, name(c + 1).alias("shard_id"), F.when(c > 0, name(c)).alias("previous_shard"), F.when(c < F.col("last_"), name(c + 2)).alias("next_shard"))
+    return _same(chunks, last, keys).select(*chunks.columns, name(c + 1).alias("shard_id"), F.when(c > 0, name(c)).alias("previous_shard"), F.when(c < F.col("last_"), name(c + 2)).alias("next_shard"))

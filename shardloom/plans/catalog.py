@@ -251,7 +251,7 @@ def k17_nextfit_tight(spark, d):
 
 @query(_next_fit("plain", 722) + " select * from chunks")
 def t2_stream_chunks(spark, d):
-    return packing.chunk_table(packing.stream(_events(spark, d), ["event_type"], "event_id", "size", 722, "plain"), ["event_type"], "event_id", "size")
+    return packing.chunk_table(packing.stream(_events(spark, d), ["event_type"], "event_id", "size", 722, "plain", block=256), ["event_type"], "event_id", "size")
 
 
 @query(_next_fit("fill", 722) + """ select event_type, chunk, n_items, bytes, first, last, printf('shard_%03d', chunk + 1) as shard_id, if(chunk > 0, printf('shard_%03d', chunk), null) as previous_shard,
