@@ -36,17 +36,27 @@ def p2_flat(spark: SparkSession, d: str) -> DataFrame:
     return flat.withColumns({"fields": F.to_json("fields"), "original_path": F.to_json("original_path")})
 
 
-def _state(spark: SparkSession, d: str) -> orphans.OrphanState:
+def _state(spark: SparkSession, d: str, step: int = 6) -> tuple[orphans.OrphanState, list[str]]:
+    """Pending-orphan state after all months of the four tables, a batch for each half-year (or as many months as asked for)."""
     refs = orphans.shard_references(table(spark, d, "shard_meta"), table(spark, d, "doc_meta"))
-    return orphans.OrphanState.start(refs, table(spark, d, "file_shard"), table(spark, d, "shard_removal"))
+    return orphans.replay(refs, table(spark, d, "file_shard"), table(spark, d, "shard_removal"), step)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _state(spark, d).orphans()
+    return _state(spark, d)[0].orphans()
 
 
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _state(spark, d).snapshot().withColumn("n", F.col("n").cast("bigint"))
+    return _state(spark, d)[0].snapshot()
+
+
+def p4_monthly(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by state after each monthly batch, from the differences that the batches left."""
+    state, months = _state(spark, d, 1)
+    names = F.array(*(F.lit(m) for m in months))
+    rows = state.deltas().groupBy("batch", "src_table", "state").agg(F.sum("n").alias("n"))
+    later = rows.withColumn("batch", F.explode(F.sequence("batch", F.lit(len(months)))))
+    return later.groupBy(F.get(names, F.col("batch") - 1).alias("month"), "src_table", "state").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 _UP = """
@@ -77,12 +87,12 @@ refs as (
   union select 'doc_meta', run_id, root_shard, 'root_shard', root_shard, created_at from doc_meta
 ),
 judged as (
-  select distinct src_table, r.run_id, shard_id, ref_field, r.ref_id,
+  select distinct src_table, r.run_id, shard_id, ref_field, r.ref_id, recorded_at,
     case when st.ref_id is null then 'missing' when lr > lw then 'removed' when fw > recorded_at then 'late' else 'held' end as state, strftime(recorded_at, '%Y-%m') as period
   from refs r left join st using (run_id, ref_id) left join rm using (run_id, ref_id) where r.ref_id <> ''
 )"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p1_hierarchy, p1_descendants, p2_found, p2_flat, p4_found, p4_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p1_hierarchy, p1_descendants, p2_found, p2_flat, p4_found, p4_counts, p4_monthly)}
 
 SQL = {
     "p1_found": _UP
@@ -121,9 +131,14 @@ n as (
   from t join n on t.run_id = n.run_id and t.shard_id = n.shard_id and t.parent = n.id
 )
 select distinct run_id, shard_id, near as parent_ptr, ptr as child_ptr from n where hit""",
-    "p4_found": _STATES + " select * from judged where state <> 'held'",
-    "p4_counts": _STATES
-    + """, one as (select src_table, run_id, shard_id, ref_field, ref_id, period, max(state <> 'held') as open from judged group by all)
-select src_table, period, state, count(*) as n from judged where state <> 'held' group by all
-union all select src_table, period, 'held', count(*) filter (not open) from one group by all""",
+    "p4_found": _STATES + " select distinct src_table, run_id, shard_id, ref_field, ref_id, state, period from judged where state <> 'held'",
+    "p4_counts": _STATES + " select src_table, period, state, count(*) as n from (select distinct * from judged) group by all",
+    "p4_monthly": """
+with ev as (select distinct 'shard_meta' as src_table, run_id, shard_id, f as ref_field, r as ref_id, recorded_at from (select *, unnest(['parent_id', 'next_shard', 'previous_shard']) as f, unnest([parent_id, next_shard, previous_shard]) as r from shard_meta) where r <> ''
+  union select 'doc_meta', run_id, root_shard, 'root_shard', root_shard, created_at from doc_meta where root_shard <> ''),
+months as (select distinct strftime(t, '%Y-%m') as month from (select recorded_at as t from ev union all select written_at from file_shard union all select removed_at from shard_removal)),
+st as (select month, run_id, shard_id as ref_id, min(written_at) as fw, max(written_at) as lw from months join file_shard on strftime(written_at, '%Y-%m') <= month group by all),
+rm as (select month, run_id, shard_id as ref_id, max(removed_at) as lr from months join shard_removal on strftime(removed_at, '%Y-%m') <= month group by all)
+select month, src_table, case when st.ref_id is null then 'missing' when lr > lw then 'removed' when fw > recorded_at then 'late' else 'held' end as state, count(*) as n
+from months join ev on strftime(recorded_at, '%Y-%m') <= month left join st using (month, run_id, ref_id) left join rm using (month, run_id, ref_id) group by all""",
 }

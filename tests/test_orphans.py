@@ -1,6 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
+from shardloom.operators import orphans as O
 from shardloom.operators.orphans import OrphanState, shard_references
 from shardloom.streaming import orphans as stream
 
@@ -32,18 +35,67 @@ def frames(spark, refs, stored, removed):
     return (spark.createDataFrame(refs, REFS), spark.createDataFrame(stored, "run_id bigint, shard_id string, written_at timestamp_ntz"), spark.createDataFrame(removed, "run_id bigint, shard_id string, removed_at timestamp_ntz"))
 
 
-def test_batches_in_any_order_give_the_same(spark):
+def snapshot(refs, stored, removed):
+    out = {}
+    for src, run, sid, f, ref, at in set(refs):
+        w = [x for a, b, x in stored if (a, b) == (run, ref)]
+        g = [x for a, b, x in removed if (a, b) == (run, ref)]
+        s = "missing" if not w else "removed" if g and max(g) > max(w) else "late" if min(w) > at else "held"
+        key = (src, at.strftime("%Y-%m"), s)
+        out[key] = out.get(key, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_batches_in_any_order_give_the_same(spark, buckets):
     refs, stored, removed = events(1)
     want = brute(refs, stored, removed)
     assert {x[5] for x in want} == {"missing", "removed", "late"}
     assert {tuple(x) for x in OrphanState.start(*frames(spark, refs, stored, removed)).orphans().collect()} == want
     a, b, c = frames(spark, refs[:50], stored[30:], removed[:10])
-    state = OrphanState.start(a, b, c)
+    state = OrphanState.new(spark, buckets=buckets).advance(a, b, c)
+    first = {(x.src_table, x.period, x.state): x.n for x in state.snapshot().collect()}
+    assert first == snapshot(refs[:50], stored[30:], removed[:10])
     a, b, c = frames(spark, refs[40:], stored[:40], removed[5:])
     state = state.advance(removals=c).advance(refs=a).advance(arrivals=b)
     assert {tuple(x) for x in state.orphans().collect()} == want
-    snap = {(x.src_table, x.period, x.state): x.n for x in state.snapshot().collect()}
-    assert sum(v for k, v in snap.items() if k[2] != "held") == len(want)
+    assert {(x.src_table, x.period, x.state): x.n for x in state.snapshot().collect()} == snapshot(refs, stored, removed)
+    assert {(x.src_table, x.period, x.state): x.n for x in state.snapshot(1).collect()} == first
+
+
+def test_many_batches_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(O, "COMPACT", 3)
+    refs, stored, removed = events(4, 120)
+    a, b, c = frames(spark, refs, stored, removed)
+    state, months = O.replay(a, b, c)
+    assert state.batches == len(months) >= 4 and len(state.parts) < 3
+    assert {tuple(x) for x in state.orphans().collect()} == brute(refs, stored, removed)
+    assert {(x.src_table, x.period, x.state): x.n for x in state.snapshot().collect()} == snapshot(refs, stored, removed)
+    again = OrphanState(spark, state.folder, state.buckets, state.batches - 1)
+    assert again.snapshot().agg({"n": "sum"}).first()[0] <= len(set(refs))
+
+
+def test_work_of_a_batch_does_not_grow_with_history(spark):
+    """Rows of index and held references in the buckets that one late batch reads, after much and after little history."""
+    seen = {}
+    for n in (40, 400):
+        ids = spark.range(n).selectExpr("id as run_id", "concat('s', id) as shard_id", "timestamp_ntz'2024-01-01' as written_at")
+        refs = spark.range(n).selectExpr("'shard_meta' as src_table", "id as run_id", "'x' as shard_id", "'parent_id' as ref_field", "concat('s', id) as ref_id", "timestamp_ntz'2024-01-02' as recorded_at")
+        state = OrphanState.new(spark, buckets=n // 4).advance(refs, ids)
+        bucket = state._read("index", O._INDEX, state.parts).where("run_id = 3").first().bucket
+        seen[n] = state._read("index", O._INDEX, state.parts, [bucket]).count() + state._refs("held", state.parts, [bucket]).count()
+        late = state.advance(removals=spark.createDataFrame([(3, "s3", datetime(2024, 2, 1))], "run_id bigint, shard_id string, removed_at timestamp_ntz"))
+        assert [(x.run_id, x.state) for x in late.orphans().collect()] == [(3, "removed")]
+        assert late.references().count() == 1  # what is pending, nothing else
+    assert seen[400] <= 3 * max(seen[40], 8)
+
+
+def test_null_times(spark):
+    refs = spark.createDataFrame([("shard_meta", 1, "a", "parent_id", k, None) for k in ("k", "gone", "none")], REFS)
+    stored = spark.createDataFrame([(1, "k", None), (1, "gone", None)], "run_id bigint, shard_id string, written_at timestamp_ntz")
+    removed = spark.createDataFrame([(1, "gone", None), (None, None, None)], "run_id bigint, shard_id string, removed_at timestamp_ntz")
+    state, months = O.replay(refs, stored, removed)
+    assert months == ["0000-00"] and [tuple(x) for x in state.orphans().collect()] == [("shard_meta", 1, "a", "parent_id", "none", "missing", None)]
 
 
 def test_references_and_empty(spark):
@@ -67,7 +119,8 @@ def test_streams(spark, tmp_path):
     want = {x[:6] for x in brute(refs, stored, removed)}
     q = stream.ledger(read(), str(tmp_path / "state"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    last = OrphanState(spark.read.parquet(str(tmp_path / "state/state_1/index")), spark.read.parquet(str(tmp_path / "state/state_1/refs")))
+    last = OrphanState(spark, str(tmp_path / "state"), 64, 2)
+    assert sum(x.n for x in last.snapshot().collect()) == len(set(refs))
     assert {tuple(x)[:6] for x in last.orphans().collect()} == want
     q = stream.track(read()).writeStream.format("memory").queryName("tracked").outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
