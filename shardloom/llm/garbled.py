@@ -12,6 +12,8 @@ from __future__ import annotations
 import codecs
 import html
 import re
+import unicodedata
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -192,12 +194,21 @@ class Model:
 
     @staticmethod
     def _is_sequence(a: np.ndarray, b: np.ndarray, n: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """Whether the pair is a whole UTF-8 sequence, read in a code page, of a character outside ASCII that is more frequent than the pair: a sign however often it occurs."""
+        """Whether the pair is a UTF-8 sequence, read in a code page, of a character that is more frequent than the pair: a sign however often it occurs.
+
+        So is the beginning of a sequence of three, unless its second character is punctuation, if the characters that
+        begin so are four times as frequent as the pair and more frequent than that second character.
+        """
         mark = np.zeros(len(a), bool)
+        sums = np.r_[0, np.cumsum(seen)]
+        points, at = np.unique(b, return_inverse=True)
+        letter = np.array([unicodedata.category(chr(x))[0] != "P" for x in points.tolist()], bool)[at] & (b > 127)
         for table in _TABLES.values():
             ra, rb = table[np.minimum(a, 0xFFFF)], table[np.minimum(b, 0xFFFF)]
             code = (ra.astype(np.int64) & 0x1F) << 6 | (rb & 0x3F)
             mark |= (ra >= 0xC2) & (ra <= 0xDF) & ((rb & 0xC0) == 0x80) & (b > 127) & (seen[code] > 2 * n)
+            first = (ra.astype(np.int64) & 0x0F) << 12 | (rb.astype(np.int64) & 0x3F) << 6
+            mark |= (ra >= 0xE1) & (ra <= 0xEF) & ((rb & 0xC0) == 0x80) & letter & (sums[first + 64] - sums[first] > np.maximum(4 * n, seen[b]))
         return mark
 
     def pairs(self, s: str) -> np.ndarray:
@@ -299,7 +310,7 @@ def _judge(run: str, model: Model) -> tuple[str, str, str, bool] | None:
     odd = x > 127
     wide = float((x[odd] >= 0x2E80).mean())
     best, score = None, 0.0
-    mean, total = float(before.mean()), float(before.sum())
+    mean, total, unknown = float(before.mean()), float(before.sum()), int((before > FLOOR - 0.5).sum())
     raws: dict[str, bytes] = {}
     seen = set()
     for read in (*SINGLE, *MULTI):
@@ -350,24 +361,61 @@ def _judge(run: str, model: Model) -> tuple[str, str, str, bool] | None:
                 ok = (len(after) >= 4 and known >= 0.7 and lower >= 1.5 and lost * 8 <= len(after)) or (len(after) == 3 and known == 1 and lower >= 4)
             else:
                 ok = known >= 0.8 and (lower >= 3.5 if len(after) >= 8 else lower >= 4 and mean > FLOOR - 5 and float(after.max()) < FLOOR - 2)
+                # a few characters in a word or a formula: nothing that the corpus doesn't know is left of several such pairs
+                ok = ok or (unknown >= 2 and float(after.max()) <= FLOOR - 1.5 and total - float(after.sum()) >= 3 and not _SIGN_IN_WORD.search(new))
             if ok:
                 value = lower * len(before) - 10 * lost
                 if best is None or value > score:
                     best, score = (new, read, written, lost == 0), value
-    return best
+    return best or _lost_tail(run, before, unknown, model)
+
+
+#: A sign other than an apostrophe or hyphen within a word.
+_SIGN_IN_WORD = re.compile(r"[A-Za-z](?![’‐‑–·])[^\x00-\x7f\w][A-Za-z]")
+#: Punctuation of three bytes that begin with 0xE2 (fixed values), which is all that is left where the others were dropped.
+_PUNCTUATION = "“”’‘–—…•™€"
+
+
+def _lost_tail(run: str, before: np.ndarray, unknown: int, model: Model) -> tuple[str, str, str, bool] | None:
+    """The run with the punctuation that fits best for each lone first byte of it, if the corpus knows all pairs then."""
+    if "\u00e2" not in run or not unknown:
+        return None
+    new = list(run)
+    for i, c in enumerate(run):
+        if c == "\u00e2":
+            new[i] = min(_PUNCTUATION, key=lambda x: float(model.pairs("".join(new[max(0, i - 1) : i]) + x + run[i + 1 : i + 2]).sum()))
+    text = "".join(new)
+    after = model.pairs(text)
+    ok = len(after) and float(after.max()) <= FLOOR - 1.5 and float(before.mean() - after.mean()) >= 4
+    return (text, "latin-1", "utf-8", False) if ok else None
+
 
+#: Least number of pairs of a run whose lost bytes are made up for, and least share of them that the corpus must know then.
+_LONG, _KNOWN = 30, 0.25
 
-#: Numbers make no difference to what is no garbled text.
-_DIGITS = dict.fromkeys(map(ord, "123456789"), "0")
+
+def _lost_heads(run: str, model: Model) -> bool:
+    """Whether a long run is Japanese text of which bytes were dropped: unknown to the corpus, it is known in part with the byte of hiragana before each of its characters; or, known or not, as far as its bytes still go together."""
+    before = model.pairs(run)
+    if len(before) < _LONG:
+        return False
+    x = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = _TABLES["cp1252"][np.minimum(x, 0xFFFF)]
+    if _OTHER not in raw:
+        after = model.pairs(raw.tobytes().decode("cp932", "replace"))
+        if len(after) * 4 >= len(before) and float((after < FLOOR - 0.5).mean()) >= 2 * _KNOWN:
+            return True
+    if float((before > FLOOR - 0.5).mean()) < 0.6:
+        return False
+    kana = "".join(bytes([0x82, ord(c)]).decode("cp932", "replace") if "\x9f" <= c <= "\xf1" else c for c in run)
+    after = model.pairs(kana)
+    return float((after < FLOOR - 0.5).mean()) >= _KNOWN
 
 
 def judge(run: str, model: Model):
     """`_judge`, kept by run as runs repeat all over a corpus, and applied again as long as the result can be restored further."""
     if run in model.cache:
         return model.cache[run]
-    plain = run.translate(_DIGITS)
-    if plain in model.cache and model.cache[plain] is None:
-        return None
     got = first = _judge(run, model)
     for _ in range(3):
         if got is None or got[2] != "utf-8":
@@ -379,18 +427,21 @@ def judge(run: str, model: Model):
     if len(run) < 200:
         if len(model.cache) > 200_000:
             model.cache.clear()
-        model.cache[plain if got is None else run] = got
+        model.cache[run] = got
     return got
 
 
-def examine(text: str, segments: list[tuple[int, int, float]], model: Model) -> tuple[str, int, bool, str, str] | None:
-    """(restored text, runs, whole, read in, written in) of a text with garbled runs, else None; segments are of pairs."""
+def examine(text: str, segments: list[tuple[int, int, float]], model: Model) -> tuple[list[tuple[int, int, str]], int, bool, str, str] | None:
+    """(replacements, runs, whole, read in, written in) of a text with garbled runs, else None; segments are of pairs.
+
+    A replacement (start, end, text) covers only what its run and the restored text don't have in common at their ends.
+    """
     spans: list[list[int]] = []
     n = len(text)
     for a, b, total in segments:
         b += 1  # pairs to characters
         top = max(text[a:b])
-        if total < LEAST_SCORE[2 if top >= "\u2e80" else 1 if any("\u0370" <= c < "\u0530" for c in text[a:b]) else 0] and "\ufffd" not in text[a:b]:
+        if total < LEAST_SCORE[2 if top >= "\u2e80" else 1 if any("\u0370" <= c < "\u0530" for c in text[a:b]) else 0] and not _GONE.search(text, a, b):
             continue
         while a > 0 and ord(text[a]) > 127 and ord(text[a - 1]) > 127:
             a -= 1
@@ -401,24 +452,38 @@ def examine(text: str, segments: list[tuple[int, int, float]], model: Model) ->
             spans[-1][1] = max(b, spans[-1][1])
         else:
             spans.append([a, b])
-    out, at, runs, whole, kind = [], 0, 0, True, None
+    out, runs, whole, kind = [], 0, True, None
     for a, b in spans:
         for a, b, got in _parts(text, a, b, model):
             if got is not None:
-                out += [text[at:a], got[0]]
-                at = b
+                out.append(_differing(text, a, b, got[0]))
                 runs, whole, kind = runs + 1, whole and got[3], kind if kind and kind[0] else got[1:3]
             else:
                 runs, whole, kind = runs + 1, False, kind or ("", "")
     if not runs:
         return None
-    return "".join([*out, text[at:]]), runs, whole, *kind
+    return out, runs, whole, *kind
+
+
+def _differing(text: str, a: int, b: int, new: str) -> tuple[int, int, str]:
+    """The replacement of text[a:b] by `new` without what both begin and end with."""
+    head = 0
+    while a + head < b and head < len(new) and text[a + head] == new[head]:
+        head += 1
+    tail = 0
+    while b - tail > a + head and len(new) - tail > head and text[b - tail - 1] == new[-tail - 1]:
+        tail += 1
+    return a + head, b - tail, new[head : len(new) - tail]
 
 
 #: Stretches of one kind of script, white space and ASCII between included.
 _SCRIPT = re.compile(r"[\u2e80-\uffef](?:[^\x80-\u2e7f\n]*[\u2e80-\uffef])?|[\u0370-\u052f](?:[^\x80-\u036f\u0530-\uffff\n]*[\u0370-\u052f])?|[\x80-\u036f\u0530-\u2e7f](?:[^\u0370-\u052f\u2e80-\uffff\n]*[\x80-\u036f\u0530-\u2e7f])?")
 
 
+#: What no text that was decoded rightly holds: the sign of a lost byte, and controls above ASCII but for the line end among them.
+_GONE = re.compile("[\ufffd\x80-\x84\x86-\x9f]")
+
+
 def _parts(text: str, a: int, b: int, model: Model):
     """Accepted parts of text[a:b]: the whole, else its lines, else their stretches of one script; and what holds lost bytes."""
     got = judge(text[a:b], model)
@@ -446,7 +511,7 @@ def _parts(text: str, a: int, b: int, model: Model):
                 m = _SCRIPT.search(text, max(m.end(), c), d)
             if hit:
                 continue
-        if "\ufffd" in text[c:d]:
+        if _GONE.search(text, c, d) or _lost_heads(text[c:d], model):
             yield c, d, None
 
 
@@ -461,9 +526,10 @@ def _scan(batches, shared):
     for batch in batches:
         rows = []
         for at in range(0, batch.num_rows, 500):
-            ids, texts = batch.column(0).slice(at, 500), batch.column(1).slice(at, 500).to_pylist()
-            # characters spelt as references count as the characters
-            texts = [html.unescape(t) if t and "&" in t and ";" in t else t or "" for t in texts]
+            ids, given = batch.column(0).slice(at, 500), batch.column(1).slice(at, 500).to_pylist()
+            # characters spelt as references count as the characters, but stay as they are spelt outside garbled runs
+            opened = [open_references(t) if t and "&" in t and ";" in t else (t or "", None) for t in given]
+            texts = [t for t, _ in opened]
             x = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
             ends = np.cumsum([len(t) for t in texts])
             if len(x) < 2:
@@ -477,7 +543,7 @@ def _scan(batches, shared):
             kind = script(x)
             score[touch] = np.where(model.closed[a, b], ASCII_SCORE, np.clip(model.bounds[np.maximum(kind[touch], kind[touch + 1])] - cubic, -8, 8))
             score[touch[model.marked[a, b]]] = MARK_SCORE
-            lost = np.flatnonzero(x == 0xFFFD)
+            lost = np.flatnonzero((x == 0xFFFD) | ((x >= 0x80) & (x < 0xA0) & (x != 0x85)))
             score[lost] = 8
             score[ends[ends > 0] - 1] = -1e6  # a pair over the end of a text
             doc_of = np.searchsorted(ends, np.flatnonzero(score > 0), "right")
@@ -485,29 +551,71 @@ def _scan(batches, shared):
                 base = int(ends[d - 1]) if d else 0
                 got = probe(texts[d], score[base : int(ends[d]) - 1], model)
                 if got is not None:
-                    rows.append((ids[d].as_py(), *got))
+                    rows.append((ids[d].as_py(), put(given[d], opened[d][1], *got[:2]), *got[2:]))
         if rows:
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())], ["doc_id", "restored", "runs", "whole", "read_as", "written_as"])
 
 
 def probe(text: str, score: np.ndarray, model: Model):
-    """`examine` over the maximal segments of the scores of the text's pairs, with quoted examples blanked out meanwhile."""
+    """(text as examined, *`examine`) over the maximal segments of the scores of the text's pairs, with quoted examples blanked out."""
     quoted = [(m.start(), m.end()) for m in _EXAMPLE.finditer(text)]
     if quoted:
         score = score.copy()
         blank = list(text)
         for a, b in quoted:
             score[max(0, a - 1) : b] = ASCII_SCORE
-            blank[a:b] = "\x01" * (b - a)
+            blank[a:b] = _BLANK * (b - a)
         if not (score > 0).any():
             return None
-        got = examine("".join(blank), maximal_segments(score), model)
-        if got is None:
-            return None
-        back = iter("".join(text[a:b] for a, b in quoted))
-        return re.sub("\x01", lambda m: next(back, ""), got[0]), *got[1:]
-    return examine(text, maximal_segments(score), model)
+        text = "".join(blank)
+    got = examine(text, maximal_segments(score), model)
+    return None if got is None else (text, *got)
+
+
+#: Stands for the characters of quoted examples while a text is examined.
+_BLANK = "\x01"
+_REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+
+
+def open_references(text: str) -> tuple[str, np.ndarray | None]:
+    """The text with characters instead of their references, and where each of its characters (and its end) lies in the given one; None where all stay in place."""
+    parts, places, at = [], [], 0
+    for m in _REFERENCE.finditer(text):
+        new = html.unescape(m.group())
+        if new == m.group():
+            continue
+        parts += [text[at : m.start()], new]
+        places += [np.arange(at, m.start()), np.full(len(new), m.start())]
+        at = m.end()
+    if not parts:
+        return text, None
+    return "".join([*parts, text[at:]]), np.concatenate([*places, np.arange(at, len(text) + 1)])
+
+
+def _sparing(seen: str, place: np.ndarray, a: int, b: int, new: str):
+    """A replacement cut up so that references within it that it leaves as they are stay as they are spelt."""
+    if int(place[b] - place[a]) == b - a or _BLANK in new:
+        yield a, b, new
+        return
+    for op, i, j, k, m in SequenceMatcher(None, seen[a:b], new, autojunk=False).get_opcodes():
+        if op != "equal":
+            yield a + i, a + j, new[k:m]
+
+
+def put(given: str, place: np.ndarray | None, seen: str, replacements: list[tuple[int, int, str]]) -> str:
+    """The given text with the replacements, whose places are those of the text as examined; nothing else is changed."""
+    where = (lambda i: i) if place is None else (lambda i: int(place[i]))
+    if place is not None:
+        replacements = [x for r in replacements for x in _sparing(seen, place, *r)]
+    out, at = [], 0
+    for a, b, new in replacements:
+        if _BLANK in new:
+            held = iter([i for i in range(a, b) if seen[i] == _BLANK])
+            new = re.sub(_BLANK, lambda m: "" if (i := next(held, None)) is None else given[where(i) : where(i + 1)], new)  # noqa: B023
+        out += [given[at : where(a)], new]
+        at = where(b)
+    return "".join([*out, given[at:]])
 
 
 _MODEL: tuple | None = None
@@ -525,8 +633,7 @@ class _Shared:
 def restore(docs: DataFrame) -> DataFrame:
     """(doc_id, restored, runs, whole, read_as, written_as) of the documents with garbled text.
 
-    restored: the text with its garbled runs put right (characters spelt as references are then plain), U+FFFD for
-    what is lost; whole: nothing was lost. Null, empty and blank texts, texts that only quote garbled sequences,
+    restored: the text with its garbled runs put right and nothing else changed, U+FFFD for what is lost; whole: nothing was lost. Null, empty and blank texts, texts that only quote garbled sequences,
     dropped or decomposed accents and broken formulas give no rows. Two maps over the scan: counts of pairs over all
     texts, then the search with the model broadcast, which is bounded by LEAST_SHARE and not by the corpus.
     """

@@ -20,6 +20,9 @@ CASES = {
     "twice": SENTENCES[0].format(i=7).encode().decode("latin-1").encode().decode("latin-1"),
     "passage": "The housing is closed at 5 Â°C and stays so.",
     "lost": "A r�sum� of the claim.",
+    "quotes": "The device of claim 3, wherein the known вЂњKadel-3вЂќ arrangement is worn.",
+    "tails": "The device of claim 4, wherein the known âKadel-4â arrangement is worn.",
+    "controls": "The value \x87\x94? is kept.",
     "reference": SENTENCES[0].format(i=9).encode().decode("latin-1").replace("°", "&deg;"),
 }
 NOT = ["", " ", None, "It looks for remnants such as “Ã©” or “Â°” in labels.", "gemäss Anspruch", "gem&auml;ß Anspruch 5", "fruher Warme", "x  5", "plain text", "x"]
@@ -40,7 +43,24 @@ def test_restored(found):
     got = {name: found[9000 + i].restored for i, name in enumerate(CASES)}
     assert got["cp1252"] == SENTENCES[0].format(i=7) and got["latin"] == SENTENCES[2].format(i=7) and got["koi8"] == SENTENCES[2].format(i=7)
     assert got["gbk"] == SENTENCES[3].format(i=7) and got["twice"] == SENTENCES[0].format(i=7) and got["passage"] == "The housing is closed at 5 °C and stays so."
-    assert not found[9000 + list(CASES).index("lost")].whole
+    assert not found[9000 + list(CASES).index("lost")].whole and not found[9000 + list(CASES).index("controls")].whole
+    assert got["quotes"] == "The device of claim 3, wherein the known “Kadel-3” arrangement is worn."
+    assert got["tails"].startswith("The device of claim 4, wherein the known “Kadel-4")
+
+
+def test_nothing_else_is_changed(spark):
+    bad = SENTENCES[0].format(i=8).encode().decode("latin-1")
+    texts = [f"leitf&auml;hig &amp; &#252;blich. {bad} leitf&auml;hig &lt;b&gt; &unknown; It shows “Â°” there.", f"{bad[:40]} f&uuml;r {bad[40:]}"]
+    good = [f"leitf&auml;hig &amp; &#252;blich. {SENTENCES[0].format(i=8)} leitf&auml;hig &lt;b&gt; &unknown; It shows “Â°” there.", f"{SENTENCES[0].format(i=8)[:37]}"]
+    rows = [(k, t) for k, t in CLEAN] + [(9000 + i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.restored for r in G.restore(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(got) == {9000, 9001} and got[9000] == good[0] and "f&uuml;r" in got[9001] and got[9001].startswith(good[1])
+
+
+def test_order_of_texts_makes_no_difference(spark):
+    rows = CLEAN + [(9000 + i, t) for i, t in enumerate(CASES.values())]
+    a, b = (sorted(map(tuple, G.restore(spark.createDataFrame(x, "doc_id bigint, text string").coalesce(1)).collect())) for x in (rows, rows[::-1]))
+    assert a == b
 
 
 def test_empty(spark):
