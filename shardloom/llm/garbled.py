@@ -170,6 +170,9 @@ class Model:
         mark = ok & self._is_sequence(a, b, n, seen)
         self.marked[ia[mark], ib[mark]] = True
         self.cache: dict[str, tuple] = {}
+        # from which information on a pair counts as unknown, in small corpora those met once or twice; up to which as well known
+        self.rare = min(FLOOR - 0.5, float(np.log2(self.total)) - 1.1)
+        self.usual = min(FLOOR, float(np.log2(self.total))) - 1.5
 
     def _may_be_garbled(self, a: np.ndarray, b: np.ndarray, info: np.ndarray) -> np.ndarray:
         """Whether some inverse mapping makes of the pair a part of a UTF-8 sequence, of a double-byte character, or a pair that is known better.
@@ -310,7 +313,7 @@ def _judge(run: str, model: Model) -> tuple[str, str, str, bool] | None:
     odd = x > 127
     wide = float((x[odd] >= 0x2E80).mean())
     best, score = None, 0.0
-    mean, total, unknown = float(before.mean()), float(before.sum()), int((before > FLOOR - 0.5).sum())
+    mean, total, unknown = float(before.mean()), float(before.sum()), int((before > model.rare).sum())
     raws: dict[str, bytes] = {}
     seen = set()
     for read in (*SINGLE, *MULTI):
@@ -362,7 +365,7 @@ def _judge(run: str, model: Model) -> tuple[str, str, str, bool] | None:
             else:
                 ok = known >= 0.8 and (lower >= 3.5 if len(after) >= 8 else lower >= 4 and mean > FLOOR - 5 and float(after.max()) < FLOOR - 2)
                 # a few characters in a word or a formula: nothing that the corpus doesn't know is left of several such pairs
-                ok = ok or (unknown >= 2 and float(after.max()) <= FLOOR - 1.5 and total - float(after.sum()) >= 3 and not _SIGN_IN_WORD.search(new))
+                ok = ok or (unknown >= 2 and float(after.max()) <= model.usual and total - float(after.sum()) >= 3 and not _SIGN_IN_WORD.search(new))
             if ok:
                 value = lower * len(before) - 10 * lost
                 if best is None or value > score:
@@ -386,7 +389,7 @@ def _lost_tail(run: str, before: np.ndarray, unknown: int, model: Model) -> tupl
             new[i] = min(_PUNCTUATION, key=lambda x: float(model.pairs("".join(new[max(0, i - 1) : i]) + x + run[i + 1 : i + 2]).sum()))
     text = "".join(new)
     after = model.pairs(text)
-    ok = len(after) and float(after.max()) <= FLOOR - 1.5 and float(before.mean() - after.mean()) >= 4
+    ok = len(after) and float(after.max()) <= model.usual and float(before.mean() - after.mean()) >= 4
     return (text, "latin-1", "utf-8", False) if ok else None
 
 
