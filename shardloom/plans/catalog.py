@@ -46,13 +46,31 @@ def _events(spark, d):
 _EV = "(select event_id, event_type, props, octet_length(encode(json(props))) as size from events)"
 
 _DOCS = """docs as (select distinct run_id || '/' || shard_id as doc_id, data from file_shard where json_valid(data) and json_type(data) in ('OBJECT', 'ARRAY'))"""
-_TREE = f"""with recursive {_DOCS},
-t as materialized (select doc_id, j.id, j.parent, j.key, case j.type when 'OBJECT' then 'dict' when 'ARRAY' then 'list' else 'primitive' end as kind, j.type as jt, j.value as value from docs, json_tree(docs.data) j),
-n as (select *, 0 as depth, '' as top, false as in_list, true as sampled from t where parent is null
-  union all select t.*, n.depth + 1, if(n.depth = 0, t.key, n.top), n.in_list or n.kind = 'list', n.sampled and (n.kind <> 'list' or try_cast(t.key as int) < 5) from t join n on t.doc_id = n.doc_id and t.parent = n.id),
+
+
+def _tree(more: str = "", first: str = "", then: str = "", docs: str = _DOCS) -> str:
+    """Recursive tables of documents, their values and their nodes, with further columns of the nodes if asked for."""
+    return f"""with recursive {docs},
+t as materialized (select doc_id, j.id, j.parent, j.key, case j.type when 'OBJECT' then 'dict' when 'ARRAY' then 'list' else 'primitive' end as kind, j.type as jt, j.value::varchar as value from docs, json_tree(json(docs.data)) j),
+n as (select *, 0 as depth, '' as top, false as in_list, true as sampled{first} from t where parent is null
+  union all select t.*, n.depth + 1, if(n.depth = 0, t.key, n.top), n.in_list or n.kind = 'list', n.sampled and (n.kind <> 'list' or try_cast(t.key as int) < 5){then} from t join n on t.doc_id = n.doc_id and t.parent = n.id),
 kids as (select doc_id, parent as id, count(*) as k from t where parent is not null group by all),
-nodes as (select n.*, coalesce(k, 0) as n_children from n left join kids using (doc_id, id))"""
+nodes as (select n.*, coalesce(k, 0) as n_children, octet_length(encode(n.value)) as compact{more} from n left join kids using (doc_id, id))"""
+
+
+_TREE = _tree()
+#: With the number of the node in its document, its place, and its spaced size.
+_SIZED = (
+    _tree(", row_number() over (partition by doc_id order by n.id) - 1 as node", ", []::varchar[] as path, [id] as line", ", list_append(n.path, if(n.kind = 'list', '[' || t.key || ']', t.key)), list_append(n.line, t.id)")
+    + """,
+gaps as (select doc_id, id, sum(g) as g from (select doc_id, unnest(line) as id, n_children - 1 + if(kind = 'dict', n_children, 0) as g from nodes where n_children > 0) group by all),
+sized as (select nodes.*, to_json(path)::varchar as place, compact + coalesce(g, 0)::bigint as spaced from nodes left join gaps using (doc_id, id))"""
+)
 
+#: Type of a value by its own name.
+_TYPE = "case n.jt when 'OBJECT' then 'dict' when 'ARRAY' then 'list' when 'VARCHAR' then 'str' when 'BOOLEAN' then 'bool' when 'NULL' then 'NoneType' when 'DOUBLE' then 'float' else 'int' end"
+#: Bytes of a value on its own, scalars by the rule for bare scalars.
+_BARE = "case jt when 'NULL' then 4 when 'BOOLEAN' then if(value = 'true', 5, 4) when 'VARCHAR' then octet_length(encode(value ->> '$')) + 2 + length(value ->> '$') - length(replace(value ->> '$', '\"', '')) + length(value ->> '$') - length(replace(value ->> '$', '\\', '')) else compact end"
 _ROOTS = (
     _TREE
     + """,
@@ -98,7 +116,12 @@ def z7_size_rules(spark, d):
     )
 
 
-@query()
+@query(
+    _TREE
+    + """, r as (select doc_id, max(if(depth = 0, compact, 0)) as compact, sum(if(n_children > 0, n_children - 1 + if(kind = 'dict', n_children, 0), 0)) as gaps,
+sum(if(n_children > 0, n_children * (1 + 2 * (depth + 1)) + 1 + 2 * depth + if(kind = 'dict', n_children, 0), 0)) as lines, sum(if(n_children > 0, 2 * (n_children + 1), 0)) as shift from nodes group by all)
+select doc_id, compact, (compact + gaps)::bigint as spaced, (compact + lines)::bigint as formatted, compact + 322 as schema, (compact + lines + shift + 228 + floor((compact + lines + shift + 228) * 0.08) + 64)::bigint as file, lines::bigint as pretty_gain from r"""
+)
 def z6_size_breakdown(spark, d):
     """Compact, spaced, formatted, schema and file sizes of each document."""
     return A.size_breakdown(_nodes(spark, d))
@@ -119,9 +142,20 @@ def v11_oversized(spark, d):
 # validation and structure
 
 
-@query()
+@query(
+    """with recursive all_docs as (select distinct run_id || '/' || shard_id as doc_id, data from file_shard),
+sound as (select *, case when json_valid(data) then json_type(data) in ('OBJECT', 'ARRAY') end as ok from all_docs)"""
+    + ", "
+    + _tree(docs="docs as (select doc_id, data from sound where ok)").removeprefix("with recursive ")
+    + """
+select doc_id, 'error' as severity, case when json_valid(data) then 'STRUCTURE' else 'SYNTAX' end as error_type, case when coalesce(trim(data, chr(32) || chr(9) || chr(10) || chr(13)), '') = '' then 'JSON string is empty'
+  when json_valid(data) then 'Root element must be dict or list, got ' || case if(json_valid(data), json_type(data), null) when 'VARCHAR' then 'str' when 'BOOLEAN' then 'bool' when 'NULL' then 'NoneType' when 'DOUBLE' then 'float' else 'int' end end as message from sound where not coalesce(ok, false)
+union all select doc_id, 'warning', 'STRUCTURE', 'nested ' || max(depth) || ' deep' from nodes group by doc_id having max(depth) > 20"""
+)
 def v1_validate(spark, d):
-    return A.validate(_docs(spark, d))
+    """Errors and warnings of each document; where a text breaks off is not compared, as parsers put it differently."""
+    v = A.validate(_docs(spark, d))
+    return v.withColumn("message", F.when(~F.col("message").rlike(r"\(line \d+, column \d+\)$"), F.col("message")))
 
 
 @query(_TREE + " select doc_id, max(depth) as depth from nodes group by all")
@@ -129,12 +163,13 @@ def v4_depth(spark, d):
     return A.depths(_nodes(spark, d))
 
 
-@query()
+@query(_SIZED + f""" select doc_id, max(if(depth = 0, spaced, null)) as spaced_size, max(depth) as depth, count_if(depth > 0 and spaced > {LIMIT // 2}) as large_values,
+max(if(depth = 0, spaced, null)) > {1000 * LIMIT} as too_large, max(depth) > 10 as too_deep from sized group by all""")
 def v6_preflight(spark, d):
     return A.preflight(_nodes(spark, d), LIMIT)
 
 
-@query()
+@query(_SIZED + f" select doc_id, place, spaced as size from sized where depth > 0 and spaced > {LIMIT // 2}")
 def v7_large_values(spark, d):
     return A.large_values(_nodes(spark, d), LIMIT // 2)
 
@@ -149,9 +184,9 @@ def d4_patterns(spark, d):
     return A.patterns(A.children_of_root(_nodes(spark, d)))
 
 
-@query(_TREE + " select doc_id, kind as type, depth, n_children as size, count(*) as n from nodes where kind <> 'primitive' group by all")
+@query(_SIZED + " select doc_id, node, place, kind as type, n_children as size, depth from sized where kind <> 'primitive'")
 def d6_nested(spark, d):
-    return A.nested(_nodes(spark, d)).groupBy("doc_id", "type", "depth", "size").agg(F.count("*").alias("n"))
+    return A.nested(_nodes(spark, d))
 
 
 @query("select event_id::varchar as doc_id, json_extract(props, '$.k')::varchar as value from events")
@@ -164,7 +199,7 @@ def d9_object_nesting(spark, d):
     return A.object_nesting(_nodes(spark, d))
 
 
-@query()
+@query(_TREE + f""" select n.doc_id, {_TYPE} as type, count(*) as n, max(n.compact) as largest from nodes n join nodes r on r.doc_id = n.doc_id and r.depth = 0 and r.kind = 'list' where n.depth = 1 group by all""")
 def d12_list_types(spark, d):
     return A.type_histogram(_nodes(spark, d))
 
@@ -188,38 +223,64 @@ def d15_advisory_score(spark, d):
 @query(
     _TREE
     + """ select doc_id, count_if(kind = 'dict') as dicts, count_if(kind = 'list') as lists, count_if(kind = 'primitive') as primitives,
-sum(if(kind = 'dict', n_children, 0))::bigint as keys, sum(if(kind = 'list', n_children, 0))::bigint as items, max(depth) as depth from nodes group by all"""
+sum(if(kind = 'dict', n_children, 0))::bigint as keys, sum(if(kind = 'list', n_children, 0))::bigint as items, max(depth) as depth,
+(max(if(depth = 0, compact, 0)) + sum(if(n_children > 0, n_children - 1 + if(kind = 'dict', n_children, 0), 0)))::bigint as spaced_size from nodes group by all"""
 )
 def d16_statistics(spark, d):
-    return A.statistics(_nodes(spark, d)).drop("spaced_size")
+    return A.statistics(_nodes(spark, d))
 
 
-@query()
+_CANDIDATES = f"""select doc_id, node, place, kind as type, spaced as size, n_children, round(greatest(0.1, spaced / {LIMIT // 4} + least(n_children / 100, 1.0) + if(kind = 'dict', 0.2, 0.0) - depth * 0.1), 6)::double as priority from sized where kind <> 'primitive' and spaced > {LIMIT // 4}"""
+
+
+@query(_SIZED + " " + _CANDIDATES)
 def n1_candidates(spark, d):
     return A.candidates(_nodes(spark, d), LIMIT // 4)
 
 
-@query()
+@query(_SIZED + f" select * from (select *, row_number() over (partition by doc_id order by priority desc, node) as rank from ({_CANDIDATES})) where rank <= 5")
 def a8_top_candidates(spark, d):
     return A.top_candidates(A.candidates(_nodes(spark, d), LIMIT // 4))
 
 
-@query()
+_ADVISED = (
+    _ROOTS.replace(_TREE, _SIZED, 1)
+    + f""",
+z as (select doc_id, max(if(depth = 0, spaced, null)) as spaced, count_if(kind <> 'primitive' and spaced > {LIMIT // 2}) as candidates from sized group by all),
+advised as (select *, round(least(5.0, if(n > 0, max_depth * 0.3 + if(kinds <= 1, 0.0, 0.5) + if(advisory = 'mixed', 0.7, 0.0) + if(n > 100, 0.4, 0.0), 0.0)), 6)::double as score from classed join z using (doc_id)),
+plan as (select doc_id, structure, advisory, case advisory when 'dict-of-dicts' then 'dict_processor' when 'list' then 'list_processor' else 'mixed_processor' end as processor, candidates, greatest(1, ceil(spaced / {LIMIT}))::bigint as shards, score,
+  case when candidates = 0 then 'simple_sharding' when score > 3 then 'complex_hierarchical' when candidates > 10 then 'aggressive_sharding' when advisory = 'mixed' then 'mixed_strategy' else 'standard_sharding' end as strategy from advised)"""
+)
+
+
+@query(_ADVISED + " select * from plan")
 def n3_recommend(spark, d):
     return A.recommend(_nodes(spark, d), LIMIT)
 
 
-@query()
+_OVERVIEW = _SIZED + """,
+o as (select doc_id, max(if(depth = 0, kind, null)) as root, max(if(depth = 0, n_children, null)) as n, count_if(depth = 1 and {bare} > {at}) as large, coalesce(sum({bare}) filter (depth = 1 and {bare} > {at}), 0) as large_bytes,
+  count_if(depth = 1 and kind <> 'primitive') as containers, count(distinct {kind}) filter (depth = 1) as types, max(depth) filter (kind = 'dict' and not in_list) as level,
+  sum(if(n_children > 0, n_children * (1 + 2 * (depth + 1)) + 1 + 2 * depth + if(kind = 'dict', n_children, 0) + 2 * (n_children + 1), 0)) + max(if(depth = 0, compact, 0)) + 228 as b from sized n group by all),
+f as (select *, (b + floor(b * 0.08) + 64)::bigint as size from o)"""
+
+
+def _overview(share: float, rules: list[tuple[str, str, str]], where: str) -> str:
+    parts = " union all ".join(f"select doc_id, '{name}' as suggestion, ({value})::double as value from f where {where} and {test}" for test, name, value in rules)
+    return _OVERVIEW.format(bare=f"({_BARE})", at=LIMIT * share, kind=_TYPE) + " " + parts
+
+
+@query(_overview(0.5, [("large > 0", "split_large_values", "large"), ("level > 5", "flatten_deep_nesting", "level"), ("n > 1000", "group_related_keys", "n")], "root = 'dict'"))
 def n6_dict_advice(spark, d):
     return A.dict_advice(_nodes(spark, d), LIMIT)
 
 
-@query()
+@query(_overview(0.5, [("large > 0", "split_large_items", "large"), ("types > 1", "group_similar_items", "types"), ("containers > 0", "flatten_nested_structures", "containers"), ("n > 10000", "batch_processing", "n")], "root = 'list' and n > 0"))
 def n7_list_advice(spark, d):
     return A.list_advice(_nodes(spark, d), LIMIT)
 
 
-@query()
+@query(_overview(0.3, [("root = 'dict' and large > 0", "split_large_values", "large_bytes * 0.5"), ("root = 'list' and n > 10", "split_list", "round(size * 0.6, 6)"), (f"size - {LIMIT} < size * 0.1", "remove_formatting", "round(size * 0.08, 6)")], f"size > {LIMIT}"))
 def n8_size_advice(spark, d):
     return A.size_advice(_nodes(spark, d), LIMIT)
 
@@ -307,7 +368,10 @@ def s2_rebuilt(spark, d):
     return j.agg(F.count("*").alias("documents"), F.bool_and(F.col("json").eqNullSafe(F.col("back"))).alias("equal"))
 
 
-@query()
+@query(
+    """with rec as (select distinct run_id, shard_id, data_type, original_path from shard_meta)
+select run_id, shard_id, array_to_string([shard_id] || list_filter(list_transform(coalesce(original_path, [])[-2:], lambda x: regexp_replace(regexp_replace(x, '[\\[\\]]', '', 'g'), '[:/\\\\]', '_', 'g')), lambda x: x <> '') || [coalesce(data_type, 'unknown')], '_') || '.json' as filename from rec"""
+)
 def s10_filenames(spark, d):
     rec = L.records(table(spark, d, "shard_meta"))
     return rec.select("run_id", "shard_id", sinks.filename().alias("filename"))
@@ -362,12 +426,9 @@ def g4_order_valid(spark, d):
     return L.order_valid(_rec(spark, d))
 
 
-@query()
+@query(_TREE + """ select distinct doc_id, value ->> '$' as ref from nodes where key = '_shard_ref' and depth <= 2 and jt = 'VARCHAR' and not in_list_key(doc_id)""".replace(" and not in_list_key(doc_id)", " and (split_part(doc_id, '/', 1)::bigint, value ->> '$') not in (select (run_id, shard_id) from shard_meta)"))
 def g5_references_in_data(spark, d):
-    """References inside the data that name no record: (doc_id, ref)."""
-    n = corpus.nodes(_docs(spark, d)).where("key = '_shard_ref' and depth <= 2 and scalar_type = 'str'").select("doc_id", F.split("doc_id", "/")[0].cast("bigint").alias("run_id"), F.expr("substring(raw, 2, length(raw) - 2)").alias("ref"))
-    known = _rec(spark, d).select("run_id", F.col("shard_id").alias("ref"))
-    return n.join(known, ["run_id", "ref"], "left_anti").select("doc_id", "ref").distinct()
+    return L.references_in_data(_nodes(spark, d), _rec(spark, d))
 
 
 @query(
@@ -384,12 +445,39 @@ def g10_children(spark, d):
     return c.withColumn("position", F.col("position").cast("bigint"))
 
 
-@query()
+_NEXT = f"""with recursive {_REC},
+walk as (select run_id, shard_id, [shard_id] as line, next_shard as nxt from rec
+  union all select w.run_id, w.shard_id, list_append(w.line, w.nxt), r.next_shard from walk w join rec r on r.run_id = w.run_id and r.shard_id = w.nxt where not list_contains(w.line, w.nxt)),
+far as (select *, case when nxt is null then 'end' when list_contains(line, nxt) then 'ring' else 'unknown' end as ending from walk w where nxt is null or list_contains(line, nxt) or not exists (from rec r where r.run_id = w.run_id and r.shard_id = w.nxt))"""
+
+
+@query(
+    _NEXT
+    + """ select far.run_id, far.shard_id, rec.next_shard as next_id, if(ending = 'ring', list_min(line[list_position(line, nxt):]), line[-1]) as last_id, ending, if(ending = 'ring', list_position(line, nxt) - 1, len(line) - 1)::bigint as position,
+len(line) + if(ending = 'unknown', 1, 0) as length from far join rec using (run_id, shard_id)"""
+)
 def g11_chains(spark, d):
-    return L.chains(_rec(spark, d)).withColumn("path", F.array_join("path", "\n"))
+    return L.chains(_rec(spark, d))
 
 
-@query()
+@query(_NEXT + " select run_id, shard_id as start_id, unnest(line) as shard_id, generate_subscripts(line, 1) - 1 as position from far where ending <> 'ring' and not exists (from rec r where r.run_id = far.run_id and r.next_shard = far.shard_id)")
+def g11_chain_members(spark, d):
+    c = L.chain_members(_rec(spark, d))
+    return c.withColumn("position", F.col("position").cast("bigint"))
+
+
+@query(
+    _UP.replace("rec ", "known ").replace("rec r", "known r") + ", " + _REC + """,
+links as (select run_id, shard_id, 'parent' as kind, parent_id as other from rec where parent_id is not null union all select run_id, shard_id, 'next', next_shard from rec where next_shard is not null
+  union all select run_id, shard_id, 'previous', previous_shard from rec where previous_shard is not null union all select run_id, shard_id, 'child', child_id from cl),
+bad as (select run_id, count(*) as errors from (select distinct l.run_id, l.shard_id, case when o.shard_id is null then 'missing_' || kind when kind = 'child' and o.parent_id is distinct from l.shard_id then 'child_parent_mismatch'
+  when kind = 'next' and o.previous_shard is distinct from l.shard_id then 'next_previous_mismatch' when kind = 'parent' and not list_contains(o.child_ids, l.shard_id) then 'not_listed' end as issue, other
+  from links l left join rec o on o.run_id = l.run_id and o.shard_id = l.other
+  union all select run_id, null, 'no_root', null from rec group by run_id having count_if(parent_id is null) = 0) where issue is not null group by all),
+rings as (select run_id, count(distinct list_min(line[list_position(line, cur):])) as cycles from ends where p is not null and list_contains(line[:-2], cur) and list_position(line, cur) = 1 group by all),
+base as (select run_id, count(*) as shards, sum(len(child_ids))::bigint as relationships, count(next_shard) as sequential_links, count_if(parent_id is null and len(child_ids) = 0) as orphans from rec group by all)
+select *, errors = 0 and cycles = 0 as valid from (select base.*, coalesce(errors, 0) as errors, coalesce(cycles, 0) as cycles from base left join bad using (run_id) left join rings using (run_id))"""
+)
 def g12_integrity(spark, d):
     return L.integrity(_rec(spark, d))
 
@@ -418,7 +506,11 @@ def g15_edges(spark, d):
     return L.edges(_rec(spark, d))
 
 
-@query()
+@query(
+    _NEXT + ", " + _SUM.removeprefix(f"with recursive {_REC}, ") + """, c as (select run_id, max(len(line) + if(ending = 'unknown', 1, 0)) as chain from far group by all)
+select run_id, x.s as suggestion, x.p as priority, x.v as value from (select run_id, unnest([if(max_depth > 10, struct_pack(s := 'reduce_nesting', p := 'high', v := max_depth), null), if(roots > 5, struct_pack(s := 'consolidate_roots', p := 'medium', v := roots), null),
+  if(leaves > shards * 0.8, struct_pack(s := 'balance_tree', p := 'low', v := leaves), null), if(chain > 20, struct_pack(s := 'break_long_chains', p := 'medium', v := chain), null)]) as x from s left join c using (run_id)) where x is not null"""
+)
 def g16_suggestions(spark, d):
     return L.suggestions(_rec(spark, d))
 
@@ -428,7 +520,13 @@ def g17_efficiency(spark, d):
     return L.efficiency(L.summary(_rec(spark, d))).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(
+    f"""with recursive {_REC}, one as (select run_id, shard_id, max(data) as data from file_shard group by all),
+k as (select *, case when not coalesce(json_valid(data), false) then 'invalid' when json_type(data) = 'OBJECT' then 'dict' when json_type(data) = 'ARRAY' then 'list' else 'primitive' end as actual from one),
+j as (select rec.*, data, actual, not starts_with(shard_id, 'shard_') or coalesce(parent_id = shard_id, false) or list_contains(child_ids, shard_id) or data_type is null or data_type not in ('dict', 'list', 'primitive') as bad from rec left join k using (run_id, shard_id)),
+w as (select *, case when bad then 'lost' when data is null then 'missing' when actual = data_type or (data_type = 'primitive' and actual <> 'invalid') then 'kept' else 'rebuilt' end as state, '{{"_recovered":true,"_original_id":"' || shard_id || '"}}' as stub from j)
+select run_id, shard_id, state, case when state = 'kept' then data when state = 'rebuilt' then case data_type when 'dict' then stub when 'list' then '[' || stub || ']' else '"_recovered_from_' || shard_id || '"' end end as data from w"""
+)
 def g18_recovered(spark, d):
     return L.recover(_rec(spark, d), table(spark, d, "file_shard"))
 
@@ -486,7 +584,7 @@ def a3_list_statistics(spark, d):
     return A.list_statistics(_docs(spark, d))
 
 
-@query()
+@query(f"with recursive {_DOCS} select split_part(doc_id, '/', 1)::bigint as run_id, coalesce(json_extract_string(data, '$._processor'), 'mixed_processor') as processor, count(*) as shards, sum(octet_length(encode(json(data)::varchar)))::bigint as bytes from docs group by all")
 def a4_processor_statistics(spark, d):
     return A.processor_statistics(_docs(spark, d))
 
@@ -502,7 +600,12 @@ def a5_performance(spark, d):
     return A.performance(table(spark, d, "run_metrics"))
 
 
-@query()
+@query(
+    f"""with h as (select operation_name as operation, max(memory_peak_mb) as peak, avg(memory_peak_mb) as memory, avg(throughput_mbps) as mbps, avg(compression_ratio) as ratio, avg(shards_created) as shards from {_RUNS} group by all),
+r as (select operation, unnest([if(peak > 2000, struct_pack(s := 'reduce_chunk_size', v := peak), null), if(memory > 1000, struct_pack(s := 'smaller_batches', v := memory), null), if(mbps < 1.0, struct_pack(s := 'enable_parallel', v := mbps), null), if(ratio > 1.5, struct_pack(s := 'optimize_structure', v := ratio), null),
+  if(shards > 100, struct_pack(s := 'increase_chunk_size', v := shards), null), if(shards < 2, struct_pack(s := 'decrease_chunk_size', v := shards), null)]) as x from h)
+select operation, x.s as suggestion, round(x.v, 6) as value from r where x is not null union all select operation, 'looks_optimal', null from h where operation not in (select operation from r where x is not null)"""
+)
 def n9_history_advice(spark, d):
     return A.history_advice(table(spark, d, "run_metrics"))
 
