@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -17,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` of the session; only where it is unset (tests) an own one."""
+    """The folder all executors share: `spark.checkpoint.dir` of the session. Where it is unset, one of this machine on a local master, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shardloom-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="shardloom-"))
     return sc.getCheckpointDir()
 
 

@@ -102,3 +102,20 @@ def opens_new(current: Column, new: Column, limit: int, policy: str = "fill") ->
 def efficiency(total: str | Column, n: str | Column, target: int = 25000) -> Column:
     """Share of the target size that shards fill on average; may exceed one."""
     return F.when(_c(n) > 0, _c(total) / (_c(n) * target)).otherwise(0.0)
+
+
+def is_oversized(size: str | Column, limit: int | Column) -> Column:
+    """Whether a shard is over a limit; unknown sizes are not."""
+    return F.coalesce(_c(size) > _c(limit), F.lit(False))
+
+
+def is_large(total: str | Column, threshold: int = 10 << 20) -> Column:
+    """Whether a document counts as large; unknown sizes do not."""
+    return is_oversized(total, threshold)
+
+
+def escaped_length(json: str | Column) -> Column:
+    """Characters of a JSON text if all but ASCII were written as escapes: six a character, twelve beyond the basic plane."""
+    t = _c(json)
+    odd, far = F.length(F.regexp_replace(t, r"[\x00-\x7F]", "")), F.length(F.regexp_replace(t, r"[\x00-\x{FFFF}]", ""))
+    return (F.length(t) + 5 * odd + 6 * far).cast("bigint")

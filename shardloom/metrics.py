@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import threading
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +13,15 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 
+def resident_mb() -> float:
+    """Resident memory of this process in MB; 0 where the system doesn't tell."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1048576
+    except (OSError, ValueError):
+        return 0.0
+
+
 @dataclass
 class Metrics:
     operation_name: str
@@ -19,29 +30,52 @@ class Metrics:
     duration: float = 0.0
     input_size: int = 0
     output_size: int = 0
-    shards_created: int = 0
+    memory_peak_mb: float = 0.0
+    memory_start_mb: float = 0.0
+    memory_end_mb: float = 0.0
+    cpu_percent: float = 0.0
     throughput_mbps: float = 0.0
+    shards_created: int = 0
     compression_ratio: float = 1.0
 
 
 @dataclass
 class Profiler:
+    """Metrics of this process, the driver; figures of executors are those of Spark's own listeners."""
+
     history: list[Metrics] = field(default_factory=list)
+    every: float = 0.5  # seconds between samples of memory and CPU
 
     @contextmanager
     def operation(self, name: str, input_size: int = 0) -> Iterator[Metrics]:
-        """Time what runs inside; it may set output_size and shards_created. Kept if it ends without an exception."""
-        m = Metrics(name, start_time=time.time(), input_size=input_size)
-        yield m
-        m.end_time = time.time()
-        m.duration = m.end_time - m.start_time
-        m.throughput_mbps = m.input_size / 1048576 / m.duration if m.duration > 0 else 0.0
-        m.compression_ratio = m.output_size / m.input_size if m.input_size else 1.0
-        self.history.append(m)
+        """Time what runs inside and sample memory and CPU meanwhile; it may set output_size and shards_created. Kept also if it fails."""
+        m = Metrics(name, start_time=time.time(), input_size=input_size, memory_start_mb=resident_mb())
+        m.memory_peak_mb = m.memory_start_mb
+        done, cpu = threading.Event(), time.process_time()
+
+        def watch() -> None:
+            while not done.wait(self.every):
+                m.memory_peak_mb = max(m.memory_peak_mb, resident_mb())
+
+        sampler = threading.Thread(target=watch, daemon=True)
+        sampler.start()
+        try:
+            yield m
+        finally:
+            done.set()
+            sampler.join()
+            m.end_time = time.time()
+            m.duration = m.end_time - m.start_time
+            m.memory_end_mb = resident_mb()
+            m.memory_peak_mb = max(m.memory_peak_mb, m.memory_end_mb)
+            m.cpu_percent = (time.process_time() - cpu) / m.duration * 100 if m.duration > 0 else 0.0
+            m.throughput_mbps = m.input_size / 1048576 / m.duration if m.duration > 0 else 0.0
+            m.compression_ratio = m.output_size / m.input_size if m.input_size else 1.0
+            self.history.append(m)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The history as rows of run_metrics."""
-        return spark.createDataFrame([asdict(m) for m in self.history], "operation_name string, start_time double, end_time double, duration double, input_size bigint, output_size bigint, shards_created int, throughput_mbps double, compression_ratio double")
+        return spark.createDataFrame([asdict(m) for m in self.history], "operation_name string, start_time double, end_time double, duration double, input_size bigint, output_size bigint, memory_peak_mb double, memory_start_mb double, memory_end_mb double, cpu_percent double, throughput_mbps double, shards_created int, compression_ratio double")
 
     def export(self, kind: str = "json") -> str:
         """The history as json, csv or summary; other kinds raise ValueError."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from sys import getsizeof
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sizes as Z
+from ..functions.jsonnodes import compact, strict_parse
 from ..sources import corpus as C
 
 ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
@@ -21,6 +25,11 @@ def validate(docs: DataFrame) -> DataFrame:
     return bad.unionByName(deep.select("doc_id", F.lit("warning").alias("severity"), F.lit("STRUCTURE").alias("error_type"), F.format_string("nested %d deep", "d").alias("message")))
 
 
+def validate_input(docs: DataFrame) -> DataFrame:
+    """(doc_id, is_valid, error_type, message) of every document: whether it can be cut at all."""
+    return C.canonical(docs).select("doc_id", F.col("error_type").isNull().alias("is_valid"), "error_type", "message")
+
+
 def depths(nodes: DataFrame) -> DataFrame:
     """(doc_id, depth): deepest value; scalars at the root and empty containers have depth 0."""
     return nodes.groupBy("doc_id").agg(F.max("depth").cast("bigint").alias("depth"))
@@ -38,6 +47,24 @@ def large_values(nodes: DataFrame, threshold: int) -> DataFrame:
     return nodes.where((F.col("depth") > 0) & (F.col("spaced_size") > threshold)).select("doc_id", F.to_json("path").alias("place"), F.col("spaced_size").alias("size"))
 
 
+def has_nested(nodes: DataFrame) -> DataFrame:
+    """(doc_id, nested): whether the root holds an object or a list."""
+    return nodes.where("depth <= 1").groupBy("doc_id").agg(F.bool_or((F.col("depth") == 1) & (F.col("kind") != "primitive")).alias("nested"))
+
+
+def heavy_items(nodes: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, node, type, heavy) of the containers that are elements of root lists: whether they are to get shards of their own.
+
+    They are if they take more than three tenths of the limit, have more than ten members (objects) or twenty elements
+    (lists), or hold a container.
+    """
+    item = nodes.where("depth = 1 and pos is not null and kind <> 'primitive'")
+    full = nodes.where("depth = 2 and kind <> 'primitive'").select("doc_id", F.col("parent").alias("node")).distinct().withColumn("full", F.lit(True))
+    much = F.when(F.col("kind") == "dict", 10).otherwise(20)
+    heavy = (F.col("compact_size") > limit * 0.3) | (F.col("n_children") > much) | F.col("full").isNotNull()
+    return item.join(full, ["doc_id", "node"], "left").select("doc_id", "node", F.col("kind").alias("type"), heavy.alias("heavy"))
+
+
 # structure
 
 
@@ -150,6 +177,53 @@ def size_breakdown(nodes: DataFrame) -> DataFrame:
     return r.select("doc_id", F.col("compact_size").alias("compact"), F.col("spaced_size").alias("spaced"), F.col("formatted_size").alias("formatted"), Z.schema_size("compact_size").alias("schema"), Z.file_size("nested_size").alias("file"), (F.col("formatted_size") - F.col("compact_size")).alias("pretty_gain"))
 
 
+def document_facts(documents: DataFrame, now: str, threshold: int = 10 << 20) -> DataFrame:
+    """(run_id, kb, mb, average_shard, age_hours, large) of the rows of doc_meta, repeated ones once; no shards give no average."""
+    one = documents.groupBy("run_id").agg(F.max("original_size").alias("b"), F.max("shard_count").alias("n"), F.min("created_at").alias("t"))
+    hours = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp"))) / 3_600_000_000
+    return one.select("run_id", F.round(F.col("b") / 1024, 6).alias("kb"), F.round(F.col("b") / 1048576, 6).alias("mb"), F.when(F.col("n") > 0, F.round(F.col("b") / F.col("n"), 6)).alias("average_shard"), F.round(hours, 6).alias("age_hours"), Z.is_large("b", threshold).alias("large"))
+
+
+def compression_potential(docs: DataFrame) -> DataFrame:
+    """(doc_id, original_size, optimized_size, ratio, gzip, lz4, zstd, algorithm) of each valid document; sizes in characters with escapes.
+
+    Sorting keys, which is all that is done, changes no length, so the ratio is one; those of the algorithms are usual ones.
+    """
+    n = Z.escaped_length("json")
+    rows = C.canonical(docs).where("json is not null").select("doc_id", n.alias("original_size"))
+    return rows.select("doc_id", "original_size", F.col("original_size").alias("optimized_size"), F.lit(1.0).alias("ratio"), F.lit(0.3).alias("gzip"), F.lit(0.5).alias("lz4"), F.lit(0.25).alias("zstd"), F.when(F.col("original_size") > 50000, "zstd").otherwise("lz4").alias("algorithm"))
+
+
+def memory_usage(docs: DataFrame) -> DataFrame:
+    """(doc_id, shallow, deep, json_size, ratio): bytes of the parsed objects of each valid document in the Python that runs here, beside its compact text."""
+
+    def size(v: object) -> int:
+        total, todo = 0, [v]
+        while todo:
+            x = todo.pop()
+            total += getsizeof(x)
+            if isinstance(x, dict):
+                total += sum(map(getsizeof, x))
+                todo += x.values()
+            elif isinstance(x, list):
+                todo += x
+        return total
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                v, error, _ = strict_parse(text)
+                if not error:
+                    n = len(compact(v).encode())
+                    rows.append((doc, getsizeof(v), size(v), n))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "shallow", "deep", "json_size"])
+
+    rows = docs.select("doc_id", "json").mapInArrow(run, "doc_id string, shallow bigint, deep bigint, json_size bigint")
+    return rows.withColumn("ratio", F.col("deep") / F.col("json_size"))
+
+
 # advice
 
 
@@ -272,10 +346,11 @@ def performance(metrics: DataFrame) -> DataFrame:
     )
 
 
-def history_advice(metrics: DataFrame) -> DataFrame:
-    """(operation, suggestion, value): what the history of an operation suggests; `looks_optimal` if nothing."""
+def history_advice(metrics: DataFrame, first: int | None = None) -> DataFrame:
+    """(operation, suggestion, value): what the history of an operation suggests; `looks_optimal` if nothing. first: only so many suggestions for each, in the order of the rules."""
     h = distinct_runs(metrics).groupBy(_operation()).agg(F.max("memory_peak_mb").alias("peak"), F.avg("memory_peak_mb").alias("memory"), F.avg("throughput_mbps").alias("mbps"), F.avg("compression_ratio").alias("ratio"), F.avg("shards_created").alias("shards"))
     rules = [(F.col("peak") > 2000, "reduce_chunk_size", "peak"), (F.col("memory") > 1000, "smaller_batches", "memory"), (F.col("mbps") < 1.0, "enable_parallel", "mbps"), (F.col("ratio") > 1.5, "optimize_structure", "ratio"), (F.col("shards") > 100, "increase_chunk_size", "shards"), (F.col("shards") < 2, "decrease_chunk_size", "shards")]
     hits = F.filter(F.array(*(F.when(t, F.struct(F.lit(n).alias("suggestion"), F.round(F.col(v), 6).alias("value"))) for t, n, v in rules)), lambda x: x.isNotNull())
+    hits = hits if first is None else F.slice(hits, 1, first)
     none = F.array(F.struct(F.lit("looks_optimal").alias("suggestion"), F.lit(None).cast("double").alias("value")))
     return h.select("operation", F.inline(F.when(F.size(hits) > 0, hits).otherwise(none)))

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from math import floor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsonnodes import compact, strict_parse
@@ -58,11 +58,32 @@ def compact_size(v: object) -> int:
 
 def _lines(v: object, d: int) -> int:
     """Bytes that indenting by two adds to the compact text of a value whose container depth is d."""
-    if isinstance(v, dict) and v:
-        return len(v) * (2 + 2 * (d + 1)) + 1 + 2 * d + sum(_lines(x, d + 1) for x in v.values() if isinstance(x, (dict, list)))
-    if isinstance(v, list) and v:
-        return len(v) * (1 + 2 * (d + 1)) + 1 + 2 * d + sum(_lines(x, d + 1) for x in v if isinstance(x, (dict, list)))
-    return 0
+    total, todo = 0, [(v, d)]
+    while todo:
+        x, d = todo.pop()
+        if isinstance(x, (dict, list)) and x:
+            pairs = isinstance(x, dict)
+            total += len(x) * ((2 if pairs else 1) + 2 * (d + 1)) + 1 + 2 * d
+            todo += [(y, d + 1) for y in (x.values() if pairs else x) if isinstance(y, (dict, list))]
+    return total
+
+
+def sorted_keys(v: object) -> object:
+    """The value with the keys of all objects in code point order, lists as they are; of any depth."""
+    top: list = [None]
+    todo: list[tuple[object, object, object]] = [(v, top, 0)]
+    while todo:
+        x, into, at = todo.pop()
+        if isinstance(x, dict):
+            new: object = dict.fromkeys(sorted(x))
+            todo += [(y, new, k) for k, y in x.items()]
+        elif isinstance(x, list):
+            new = [None] * len(x)
+            todo += [(y, new, i) for i, y in enumerate(x)]
+        else:
+            new = x
+        into[at] = new  # type: ignore[index]
+    return top[0]
 
 
 def file_size(v: object) -> int:
@@ -374,9 +395,13 @@ def _shard_batches(batches, limit: int, lossless: bool, sort: bool):
             if error:
                 continue
             if sort:
-                v, error, _ = strict_parse(compact(v, True))
+                v = sorted_keys(v)
             structure = structure_of(v)
-            for i, s in enumerate(Cutter(limit, lossless).cut(v, structure)):
+            try:
+                cut = Cutter(limit, lossless).cut(v, structure)
+            except RecursionError:  # nested too deeply to be cut: the document stays whole
+                cut = [Shard("shard_001", v, kind_of(v), [] if isinstance(v, dict) else [f"[0:{len(v)}]"])]
+            for i, s in enumerate(cut):
                 rows.append((doc, i, s.shard_id, s.parent_id, s.child_ids, s.data_type, s.path, s.next_shard, s.previous_shard, "1.0.0", compact(s.data), file_size(s.data), structure))
         cols = list(zip(*rows)) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
@@ -385,13 +410,57 @@ def _shard_batches(batches, limit: int, lossless: bool, sort: bool):
 def shard(corpus: DataFrame, limit: int = MAX_SIZE, mode: str = "lossless", sort: bool = True) -> DataFrame:
     """The shards of every valid document of a corpus; invalid ones give none (see sources.corpus.canonical for their errors).
 
-    sort: keys in code point order first, the default of the pipeline. A map over documents, no shuffle.
+    sort: keys in code point order first, the default of the pipeline. Documents nested more deeply than the recursion
+    of the cutting allows (about 900 levels) stay whole, as one shard. A map over documents, no shuffle.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
     return corpus.select("doc_id", "json").mapInArrow(lambda b: _shard_batches(b, limit, mode == "lossless", sort), OUT)
 
 
+_PIECES = "doc_id string, ord int, piece int, pieces int, data_type string, data string, size bigint"
+
+
+def _resplit(batches, limit: int, lossless: bool):
+    for batch in batches:
+        rows = []
+        for doc, at, data, path in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            parts = list(Cutter(limit, lossless).chunks(json.loads(data), path or []))
+            rows += [(doc, at, i, len(parts), kind_of(x), compact(x), file_size(x)) for i, (x, _) in enumerate(parts)]
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+        cols = list(zip(*rows)) if rows else [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], [c.split()[0] for c in _PIECES.split(", ")])
+
+
+def redistribute(shards: DataFrame, limit: int, lossless: bool = False) -> DataFrame:
+    """Shards with those over the limit cut again; the others stay as they are.
+
+    New shards keep the parent and the path of the one they come from, are chained among themselves, and are numbered on
+    from the greatest number of the document; links to the old shard stay as they are. An empty container over the limit
+    (which has no members to cut) stays. `ord` goes on being the order within a document.
+    """
+    over = F.col("size") > limit
+    cut = shards.where(over).select("doc_id", "ord", "data", "original_path").mapInArrow(lambda b: _resplit(b, limit, lossless), _PIECES)
+    number = F.coalesce(F.regexp_extract("shard_id", r"^shard_(\d{1,15})", 1).try_cast("bigint"), F.lit(0))
+    last = shards.groupBy("doc_id").agg(F.max(number).alias("last_"))
+    w = Window.partitionBy("doc_id").orderBy("ord")  # one row for each shard that is cut
+    start = cut.where("piece = 0").select("doc_id", "ord", (F.sum("pieces").over(w) - F.col("pieces")).alias("before_")).join(last, "doc_id").select("doc_id", "ord", (F.col("before_") + F.col("last_")).alias("base_"))
+    name = lambda i: F.format_string("shard_%03d", F.col("base_") + i)
+    i = F.col("piece")
+    old = shards.where(over).select("doc_id", "ord", "shard_id", "parent_id", "original_path", "version", "data_structure", *(F.col(c).alias(f"{c}_") for c in ("child_ids", "data_type", "data", "size", "next_shard", "previous_shard")))
+    none = F.array().cast("array<string>")
+    j = old.join(cut.join(start, ["doc_id", "ord"]), ["doc_id", "ord"], "left")
+    made = F.col("piece").isNotNull()
+    pick = lambda new, kept: F.when(made, new).otherwise(F.col(kept))
+    new = j.select(
+        "doc_id", "ord", F.coalesce("piece", F.lit(0)).alias("piece"), pick(name(i + 1), "shard_id").alias("shard_id"), "parent_id", pick(none, "child_ids_").alias("child_ids"), pick(F.col("data_type"), "data_type_").alias("data_type"), "original_path",
+        pick(F.when(i + 1 < F.col("pieces"), name(i + 2)), "next_shard_").alias("next_shard"), pick(F.when(i > 0, name(i)), "previous_shard_").alias("previous_shard"), "version", pick(F.col("data"), "data_").alias("data"), pick(F.col("size"), "size_").alias("size"), "data_structure",
+    )
+    rows = shards.where(~F.coalesce(over, F.lit(False))).withColumn("piece", F.lit(0)).unionByName(new)
+    order = Window.partitionBy("doc_id").orderBy("ord", "piece")  # a document is cut in one task, so its shards are bounded by it
+    return rows.withColumn("ord", (F.row_number().over(order) - 1).cast("int")).drop("piece")
+
+
 def document_table(shards: DataFrame, corpus: DataFrame) -> DataFrame:
     """(doc_id, version, original_size, shard_count, root_shard, data_structure) of each sharded document."""
     per = shards.groupBy("doc_id").agg(F.count("*").cast("int").alias("shard_count"), F.min_by("shard_id", "ord").alias("root_shard"), F.first("data_structure").alias("data_structure"))

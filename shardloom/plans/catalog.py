@@ -14,6 +14,7 @@ from ..operators import analysis as A
 from ..operators import links as L
 from ..operators import packing, sharding
 from ..sources import corpus, sinks
+from ..streaming import documents
 from .problems import _UP
 
 LIMIT = 4000
@@ -132,11 +133,48 @@ def z15_chunk_size(spark, d):
     return _events(spark, d).select("event_id", Z.chunk_size("size").alias("chunk_size"))
 
 
-@query("select run_id, shard_id, cast(case when size * 1.08 > 90000 then 1 else 0 end as bigint) as over from (select distinct run_id, shard_id, size from file_shard where size is not null)")
+@query(f"select run_id, shard_id, coalesce(size > {LIMIT}, false) as oversized from (select run_id, shard_id, max(size) as size from file_shard group by all)")
 def v11_oversized(spark, d):
-    """Shards that say they are larger than a limit."""
-    s = table(spark, d, "file_shard").where("size is not null").select("run_id", "shard_id", "size").distinct()
-    return s.select("run_id", "shard_id", (F.col("size") * F.lit("1.08").cast("decimal(3,2)") > 90000).cast("bigint").alias("over"))
+    """Shards that say they are larger than a limit."""
+    s = table(spark, d, "file_shard").groupBy("run_id", "shard_id").agg(F.max("size").alias("size"))
+    return s.select("run_id", "shard_id", Z.is_oversized("size", LIMIT).alias("oversized"))
+
+
+@query(_TREE + " select r.doc_id, bool_or(coalesce(c.kind <> 'primitive', false)) as nested from nodes r left join nodes c on c.doc_id = r.doc_id and c.depth = 1 where r.depth = 0 group by all")
+def v11_nested(spark, d):
+    return A.has_nested(_nodes(spark, d))
+
+
+@query("""with m as (select run_id, max(original_size) as b, max(shard_count) as n, min(created_at) as t from doc_meta group by all)
+select run_id, round(b / 1024, 6) as kb, round(b / 1048576, 6) as mb, if(n > 0, round(b / n, 6), null) as average_shard, round(epoch_us(timestamp '2026-07-01 00:00:00' - t) / 3600000000, 6) as age_hours, coalesce(b > 20000, false) as large from m""")
+def v13_document_facts(spark, d):
+    """Sizes, average shard and age of each run's document, and whether it is large."""
+    return A.document_facts(table(spark, d, "doc_meta"), "2026-07-01 00:00:00", 20000)
+
+
+@query("select doc_id, ok as is_valid from (select doc_id, coalesce(case when json_valid(data) then json_type(data) in ('OBJECT', 'ARRAY') end, false) as ok from (select distinct run_id || '/' || shard_id as doc_id, data from file_shard))")
+def v10_validate_input(spark, d):
+    return A.validate_input(_docs(spark, d)).select("doc_id", "is_valid")
+
+
+@query("""with rec as (select distinct run_id, shard_id, data_type, original_path from shard_meta)
+select run_id, shard_id, octet_length(encode(to_json(struct_pack(shardId := shard_id, parentId := null::varchar, childIds := []::varchar[], dataType := data_type, originalPath := original_path, nextShard := null::varchar, previousShard := null::varchar, version := '1.0.0'))::varchar)) as bytes from rec""")
+def z4_metadata_size(spark, d):
+    """Compact bytes of the metadata of each record with its links null."""
+    none = F.lit(None).cast("string")
+    m = F.struct(F.col("shard_id").alias("shardId"), none.alias("parentId"), F.array().cast("array<string>").alias("childIds"), F.col("data_type").alias("dataType"), F.col("original_path").alias("originalPath"), none.alias("nextShard"), none.alias("previousShard"), F.lit("1.0.0").alias("version"))
+    return _rec(spark, d).select("run_id", "shard_id", Z.metadata_size(m).alias("bytes"))
+
+
+@query(f"with recursive {_DOCS}, c as (select doc_id, json(data)::varchar as j from docs), n as (select doc_id, length(j) + 5 * length(regexp_replace(j, '[\\x00-\\x7F]', '', 'g')) + 6 * length(regexp_replace(j, '[\\x00-\\x{{FFFF}}]', '', 'g')) as n from c) select doc_id, n as original_size, n as optimized_size, 1.0::double as ratio, 0.3::double as gzip, 0.5::double as lz4, 0.25::double as zstd, if(n > 50000, 'zstd', 'lz4') as algorithm from n")
+def z16_compression(spark, d):
+    return A.compression_potential(_docs(spark, d))
+
+
+@query()
+def z13_memory(spark, d):
+    """Bytes of objects of one Python build; no SQL."""
+    return A.memory_usage(_docs(spark, d))
 
 
 # validation and structure
@@ -315,6 +353,27 @@ def t2_stream_chunks(spark, d):
     return packing.chunk_table(packing.stream(_events(spark, d), ["event_type"], "event_id", "size", 722, "plain", block=256), ["event_type"], "event_id", "size")
 
 
+@query(
+    _SIZED
+    + f""", m as (select n.doc_id, n.node, if(r.kind = 'dict', n.key, null) as key, row_number() over (partition by n.doc_id order by n.node) as i, if(r.kind = 'dict', octet_length(encode(to_json(n.key)::varchar)) + 3 + n.compact, {_BARE.replace("jt", "n.jt").replace("value", "n.value").replace("else compact", "else n.compact")}) as size
+  from sized n join sized r on r.doc_id = n.doc_id and r.depth = 0 where n.depth = 1),
+c as (select doc_id, i, size as used, 0 as chunk, key, size from m where i = 1
+  union all select m.doc_id, m.i, if(c.used + m.size > 400 and c.used > 0, m.size, c.used + m.size), c.chunk + if(c.used + m.size > 400 and c.used > 0, 1, 0), m.key, m.size from m join c on c.doc_id = m.doc_id and m.i = c.i + 1)
+select doc_id, chunk::bigint as chunk, count(*) as n_items, sum(size)::bigint as bytes, max(if(size > 400, key, null)) as alone from c group by all"""
+)
+def t1_member_chunks(spark, d):
+    return documents.member_chunks(_nodes(spark, d), 400)
+
+
+@query(
+    _SIZED
+    + f""" select n.doc_id, n.node, n.kind as type, n.compact > {LIMIT * 0.3} or n.n_children > if(n.kind = 'dict', 10, 20) or exists (from sized c where c.doc_id = n.doc_id and c.parent = n.id and c.kind <> 'primitive') as heavy
+from sized n join sized r on r.doc_id = n.doc_id and r.depth = 0 and r.kind = 'list' where n.depth = 1 and n.kind <> 'primitive'"""
+)
+def k24_heavy_items(spark, d):
+    return A.heavy_items(_nodes(spark, d), LIMIT)
+
+
 @query(_next_fit("fill", 722) + """ select event_type, chunk, n_items, bytes, first, last, printf('shard_%03d', chunk + 1) as shard_id, if(chunk > 0, printf('shard_%03d', chunk), null) as previous_shard,
 if(chunk < max(chunk) over (partition by event_type), printf('shard_%03d', chunk + 2), null) as next_shard from chunks""")
 def k2_shard_ids(spark, d):
@@ -460,6 +519,39 @@ def g11_chains(spark, d):
     return L.chains(_rec(spark, d))
 
 
+@query(f"with recursive {_REC} select run_id, shard_id, len(child_ids) > 0 as has_children, parent_id is null as is_root, len(child_ids) = 0 as is_leaf, coalesce(len(original_path), 0) as depth, if(len(original_path) > 0, array_to_string(original_path, '.'), 'root') as place from rec")
+def v12_record_predicates(spark, d):
+    return L.predicates(_rec(spark, d))
+
+
+def _lists(df):
+    return df.select("run_id", "shard_id", "parent_id", F.array_join(F.array_sort(F.filter("child_ids", lambda c: c.isNotNull())), "|").alias("child_ids"))
+
+
+@query(f"with recursive {_REC}, more as (select run_id, parent_id as shard_id, list(distinct shard_id) as kids from rec where parent_id is not null group by all) select rec.run_id, rec.shard_id, parent_id, array_to_string(list_sort(list_filter(if(kids is null, child_ids, list_distinct(child_ids || kids)), lambda x: x is not null)), '|') as child_ids from rec left join more using (run_id, shard_id)")
+def g7_established(spark, d):
+    """Every parent that a record names made to list it (G7); lists sorted, without nulls."""
+    rec = _rec(spark, d)
+    return _lists(L.establish(rec, rec.where("parent_id is not null").select("run_id", "parent_id", F.col("shard_id").alias("child_id"))))
+
+
+@query(f"with recursive {_REC}, stale as (select c.run_id, c.shard_id, list(distinct c.child_id) as kids from cl c join rec r on r.run_id = c.run_id and r.shard_id = c.child_id where r.parent_id is distinct from c.shard_id group by all) select rec.run_id, rec.shard_id, parent_id, array_to_string(list_sort(list_filter(child_ids, lambda x: x is not null and not coalesce(list_contains(kids, x), false))), '|') as child_ids from rec left join stale using (run_id, shard_id)")
+def g9_detached(spark, d):
+    """Children that name another parent, or none, taken off the lists."""
+    rec = _rec(spark, d)
+    stale = L.link_issues(rec).where("issue = 'child_parent_mismatch'").select("run_id", F.col("shard_id").alias("parent_id"), F.col("other").alias("child_id"))
+    return _lists(L.detach(rec, stale))
+
+
+@query(f"with recursive {_REC} select run_id, shard_id, case when lower(trim(data_type)) in ('dict', 'list', 'primitive') then lower(trim(data_type)) else data_type end as data_type, coalesce(next_shard, previous_shard) as next_shard from rec")
+def g6_updated(spark, d):
+    """Records after changes to some fields: spellings of types folded, missing next links filled with the previous ones."""
+    rec = _rec(spark, d)
+    t = F.lower(F.trim("data_type"))
+    changes = rec.select("run_id", "shard_id", F.when(t.isin(*L.TYPES), t).alias("data_type"), F.when(F.col("next_shard").isNull(), F.col("previous_shard")).alias("next_shard"))
+    return L.update(rec, changes).select("run_id", "shard_id", "data_type", "next_shard")
+
+
 @query(_NEXT + " select run_id, shard_id as start_id, unnest(line) as shard_id, generate_subscripts(line, 1) - 1 as position from far where ending <> 'ring' and not exists (from rec r where r.run_id = far.run_id and r.next_shard = far.shard_id)")
 def g11_chain_members(spark, d):
     c = L.chain_members(_rec(spark, d))
@@ -610,6 +702,12 @@ def n9_history_advice(spark, d):
     return A.history_advice(table(spark, d, "run_metrics"))
 
 
+@query(SQL["n9_history_advice"].replace("unnest([if(peak", "unnest(list_filter([if(peak").replace("v := shards), null)]) as x from h)", "v := shards), null)], lambda x: x is not null)[:3]) as x from h)"))
+def a8_top_advice(spark, d):
+    """The first three suggestions for each operation."""
+    return A.history_advice(table(spark, d, "run_metrics"), 3)
+
+
 @query(f"select operation_name, run_id, duration, coalesce(shards_created, 0) as shards_created from {_RUNS} where duration is not null")
 def m2_metrics(spark, d):
     return A.distinct_runs(table(spark, d, "run_metrics")).where("duration is not null").select("operation_name", "run_id", "duration", F.coalesce("shards_created", F.lit(0)).alias("shards_created"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,33 +45,60 @@ def file_text() -> Column:
     return F.concat(F.lit('{"_metadata":'), metadata_json(), F.lit(',"data":'), F.col("data"), F.lit("}"))
 
 
+def folder_name(doc_id: str) -> str:
+    """The folder of a document: its id with all characters but letters, digits, `-`, `_` and inner dots as %XX, so no two documents share one and none leads out."""
+    name = quote(str(doc_id), safe="")
+    return name.replace(".", "%2E") if not name.strip(".") else name or "%"
+
+
+def _put(place: str, name: str, body: bytes) -> None:
+    """Write a file whole or not at all: a task that runs twice leaves one."""
+    os.makedirs(place, exist_ok=True)
+    part = os.path.join(place, f".{name}.{os.getpid()}")
+    with open(part, "wb") as f:
+        f.write(body)
+    os.replace(part, os.path.join(place, name))
+
+
+def _indented(text: str) -> bytes:
+    return json.dumps(json.loads(text), indent=2, ensure_ascii=False).encode("utf-8", "replace")
+
+
 def _write(batches, folder: str):
     for batch in batches:
         out = []
         for doc, sid, name, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            place = os.path.join(folder, *(str(doc).replace("/", "_").replace("\\", "_").strip(".") or "_",))
             try:
-                os.makedirs(place, exist_ok=True)
-                body = json.dumps(json.loads(text), indent=2, ensure_ascii=False).encode()
-                part = os.path.join(place, f".{name}.{os.getpid()}")
-                with open(part, "wb") as f:
-                    f.write(body)
-                os.replace(part, os.path.join(place, name))  # a task that runs twice leaves one whole file
+                body = _indented(text)
+                _put(os.path.join(folder, folder_name(doc)), name, body)
                 out.append((doc, sid, name, len(body), None))
-            except (OSError, ValueError) as e:
+            except (OSError, ValueError, TypeError, RecursionError) as e:
                 out.append((doc, sid, name, None, str(e)))
         cols = list(zip(*out)) if out else [[]] * 5
         types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], [c.split()[0] for c in FILE_SCHEMA.split(", ")])
 
 
-def write_files(shards: DataFrame, folder: str) -> DataFrame:
+def write_files(shards: DataFrame, folder: str, name: Column | None = None) -> DataFrame:
     """Write one indented file a shard, in a folder for each document; gives (doc_id, shard_id, filename, bytes, error).
 
-    Written as rows are asked for, by the tasks; `folder` must be shared by all executors. Failures are rows, not
-    exceptions. For large outputs prefer `write_table`.
+    name: names of one's own, as for single shards. Written as rows are asked for, by the tasks; `folder` must be shared
+    by all executors. Failures are rows, not exceptions. For large outputs prefer `write_table`.
     """
-    rows = shards.select("doc_id", "shard_id", filename().alias("filename"), file_text().alias("text"))
+    rows = shards.select("doc_id", "shard_id", (filename() if name is None else name).alias("filename"), file_text().alias("text"))
+    return rows.mapInArrow(lambda b: _write(b, folder), FILE_SCHEMA)
+
+
+def global_metadata(documents: DataFrame, created_at: str | Column) -> DataFrame:
+    """(doc_id, text) of the global metadata record of each row of a document table, camelCase; the time is given, so results can be repeated."""
+    at = F.lit(created_at) if isinstance(created_at, str) else created_at
+    record = F.struct(F.col("version"), F.col("original_size").alias("originalSize"), F.col("shard_count").alias("shardCount"), F.col("root_shard").alias("rootShard"), at.alias("createdAt"), F.col("data_structure").alias("dataStructure"))
+    return documents.select("doc_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("text"))
+
+
+def write_global_metadata(documents: DataFrame, folder: str, created_at: str) -> DataFrame:
+    """Write `_global_metadata.json` in the folder of each document; gives rows as `write_files`, with null shard_id."""
+    rows = global_metadata(documents, created_at).select("doc_id", F.lit(None).cast("string").alias("shard_id"), F.lit("_global_metadata.json").alias("filename"), "text")
     return rows.mapInArrow(lambda b: _write(b, folder), FILE_SCHEMA)
 
 
@@ -80,10 +108,50 @@ def write_table(shards: DataFrame, folder: str) -> None:
 
 
 def index(shards: DataFrame) -> DataFrame:
-    """(doc_id, total_shards, total_size, entries): entries is the JSON list of a document's shards in order; sizes are estimates."""
-    entry = F.struct("ord", "shard_id", filename().alias("filename"), F.col("data_type").alias("type"), "size", "parent_id", "child_ids", "next_shard", "previous_shard")
-    per = shards.groupBy("doc_id").agg(F.count("*").alias("total_shards"), F.sum("size").alias("total_size"), F.sort_array(F.collect_list(entry)).alias("e"))
-    return per.select("doc_id", "total_shards", "total_size", F.to_json("e", {"ignoreNullFields": "false"}).alias("entries"))
+    """(doc_id, ord, shard_id, filename, type, size, parent_id, child_ids, next_shard, previous_shard): the entries of the indexes, one row each; sizes are estimates."""
+    return shards.select("doc_id", "ord", "shard_id", filename().alias("filename"), F.col("data_type").alias("type"), "size", "parent_id", "child_ids", "next_shard", "previous_shard")
+
+
+def index_totals(shards: DataFrame) -> DataFrame:
+    """(doc_id, version, total_shards, total_size) of each document's index."""
+    return shards.groupBy("doc_id").agg(F.lit("1.0.0").alias("version"), F.count("*").alias("total_shards"), F.sum("size").alias("total_size"))
+
+
+def _write_index(batches, folder: str):
+    """Entries come sorted by document and order; a file is written as they pass, so a document may have any number."""
+    state: dict = {"doc": None, "file": None, "n": 0}
+
+    def close():
+        if state["file"] is not None:
+            state["file"].write("\n]}\n")
+            state["file"].close()
+            os.replace(state["part"], state["place"])
+            done.append((state["doc"], state["n"]))
+            state["file"] = None
+
+    for batch in batches:
+        done: list = []
+        for doc, total, size, entry in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if state["file"] is None or doc != state["doc"]:
+                close()
+                where = os.path.join(folder, folder_name(doc))
+                os.makedirs(where, exist_ok=True)
+                state |= {"doc": doc, "n": 0, "place": os.path.join(where, "_index.json"), "part": os.path.join(where, f"._index.json.{os.getpid()}")}
+                state["file"] = open(state["part"], "w", encoding="utf-8")
+                state["file"].write(f'{{"version": "1.0.0", "total_shards": {total}, "total_size": {size}, "shards": [')
+            state["file"].write((",\n" if state["n"] else "\n") + entry)
+            state["n"] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["doc_id", "entries"])
+    done = []
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["doc_id", "entries"])
+
+
+def write_index(shards: DataFrame, folder: str) -> DataFrame:
+    """Write `_index.json` in the folder of each document, entries in order, as rows are asked for; gives (doc_id, entries)."""
+    entry = F.to_json(F.struct(*(c for c in index(shards).columns if c not in ("doc_id", "ord"))), {"ignoreNullFields": "false"})
+    rows = index(shards).join(index_totals(shards).drop("version"), "doc_id").select("doc_id", "total_shards", "total_size", entry.alias("entry"), "ord")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord").drop("ord").mapInArrow(lambda b: _write_index(b, folder), "doc_id string, entries bigint")
 
 
 def output_statistics(spark: SparkSession, folder: str) -> DataFrame:

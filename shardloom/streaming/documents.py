@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.jsonnodes import compact
-from ..operators import sharding
+from ..functions.sizes import scalar_size
+from ..operators import packing, sharding
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,3 +43,19 @@ def chunk_members(value: dict | list, limit: int) -> Iterator[tuple[str | None,
             used += n
     if used:
         yield None, held, used
+
+
+def member_chunks(nodes: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, chunk, n_items, bytes, alone) of the members of every root, by `chunk_members` over the whole corpus.
+
+    A member of an object has the bytes of an object of it alone. alone: the name of a member over the limit, which is
+    a chunk of its own; null for elements of lists and other chunks. Roots of any length are packed in blocks.
+    """
+    name = F.octet_length(F.to_json(F.array("key"))) - 2
+    text = F.when(F.col("scalar_type") == "str", F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<string>")[0]).otherwise(F.col("raw"))
+    element = F.when(F.col("kind") == "primitive", scalar_size(text, "scalar_type")).otherwise(F.col("compact_size"))
+    size = F.when(F.col("key").isNotNull(), name + 3 + F.col("compact_size")).otherwise(element)
+    members = nodes.where("depth = 1").select("doc_id", "node", "key", size.cast("bigint").alias("size"))
+    packed = packing.chunk_table(packing.stream(members, ["doc_id"], "node", "size", limit, "plain"), ["doc_id"], "node", "size")
+    big = members.where(F.col("size") > limit).select("doc_id", F.col("node").alias("first"), F.col("key").alias("alone"))
+    return packed.join(big, ["doc_id", "first"], "left").select("doc_id", "chunk", "n_items", "bytes", "alone")
