@@ -390,19 +390,121 @@ def _flat(df):
 
 @query()
 def k9_shards(spark, d):
-    """Documents cut into shards by structure (K1 to K26), lossless."""
+    """Documents cut into shards by structure (K1 to K26), lossless; no SQL, as cutting is recursive in sizes of what it cut before. `s2_rebuilt` joins them again."""
     return _flat(_shards(spark, d))
 
 
 @query()
 def k9_shards_compatible(spark, d):
-    """The same with the quirks kept."""
+    """The same with the quirks kept; no SQL. The routes have SQL below, one by one."""
     return _flat(_shards(spark, d, "reference"))
 
 
-@query()
+def _objects(spark, d):
+    return _docs(spark, d).where(F.col("json").rlike(r"^\s*\{"))
+
+
+def _object_shards(spark, d):
+    """Documents that are objects, cut where the structure demands it and nowhere else, keys as they come, quirks kept."""
+    return sharding.shard(_objects(spark, d), 1 << 30, "reference", sort=False)
+
+
+def _shard_name(n: str) -> str:
+    return f"printf('shard_%03d', {n})"
+
+
+#: Shards of objects that no limit cuts (K9 to K11, K13, K22, K24, K25): an object has one, and so have non-empty lists below it;
+#: objects come before lists. Places below a mixed root are those within its values, and its references name their processor.
+_OBJECTS = (
+    _tree(", n.id as nid", ", []::varchar[] as path, [id] as line, '' as okey", ", list_append(n.path, if(n.kind = 'list', '[' || t.key || ']', t.key)), list_append(n.line, t.id), n.okey || if(t.kind = 'list', '1', '0') || printf('%09d', t.id)").replace(_DOCS, _DOCS.replace("in ('OBJECT', 'ARRAY')", "= 'OBJECT'"), 1)
+    + f""",
+share as (select doc_id, count(*) as m, count_if(kind = 'dict') as dicts, count_if(kind <> 'primitive') as containers from nodes where depth = 1 group by all),
+cls as (select r.doc_id, coalesce(dicts / m < 0.7 and containers > 0, false) as mixed, octet_length(encode(data)) as original_size from nodes r join docs using (doc_id) left join share using (doc_id) where r.depth = 0),
+sh as (select n.*, mixed, original_size, row_number() over (partition by n.doc_id order by okey) as no, case when kind = 'list' and mixed and depth = 1 then [if(n_children = 0, '[]', '[0:' || n_children || ']')] when mixed then path[2:] else path end as place
+  from nodes n join cls using (doc_id) where not in_list and (kind = 'dict' or (kind = 'list' and depth > 0 and (n_children > 0 or (mixed and depth = 1))))),
+member as (select n.doc_id, n.parent, s.no, case n.kind when 'dict' then 1 when 'list' then 2 else 0 end as grp, n.id, to_json(n.key)::varchar || ':' || case when n.kind = 'primitive' then n.value
+    else '{{"_shard_ref":"' || {_shard_name("s.no")} || '","_shard_type":"' || n.kind || '"' || if(mixed and n.depth = 1, ',"_processor":"' || n.kind || '_processor"', '') || ',"_original_path":' || to_json(if(mixed and n.depth > 1, n.path[2:], n.path))::varchar || '}}' end as text,
+    case when n.kind = 'primitive' then 0 else if(mixed and n.depth = 1, 37, 29) + 9 * len(if(mixed and n.depth > 1, n.path[2:], n.path)) + 7 end + 6 as lines
+  from nodes n left join sh s on s.doc_id = n.doc_id and s.id = n.id where n.kind = 'primitive' or s.no is not null),
+body as (select doc_id, parent as id, '{{' || string_agg(text, ',' order by grp, id) || '}}' as data, sum(lines)::bigint + 3 as lines, list({_shard_name("no")} order by no) filter (no is not null) as child_ids from member group by all),
+inner_ as (select doc_id, unnest(line) as id, generate_subscripts(line, 1) - 1 as above, depth, kind, n_children from nodes where n_children > 0 and in_list or kind = 'list'),
+spread as (select doc_id, id, sum(n_children * (1 + 2 * (depth - above + 2)) + 1 + 2 * (depth - above + 1) + if(kind = 'dict', n_children, 0))::bigint as lines from inner_ where n_children > 0 group by all),
+made as (select sh.doc_id, (sh.no - 1)::int as ord, {_shard_name("sh.no")} as shard_id, if(sh.depth = 0, null, {_shard_name("up.no")}) as parent_id, coalesce(body.child_ids, []) as child_ids, sh.kind as data_type, sh.place as original_path, null::varchar as next_shard, null::varchar as previous_shard, '1.0.0' as version,
+    if(sh.kind = 'dict', coalesce(body.data, '{{}}'), sh.value) as data, 228 + if(sh.kind = 'dict', coalesce(octet_length(encode(body.data)) + body.lines, 2), sh.compact + coalesce(spread.lines, 0)) as b, if(sh.mixed, 'mixed', 'dict-of-dicts') as data_structure, sh.original_size
+  from sh left join sh up on up.doc_id = sh.doc_id and up.id = sh.parent left join body on body.doc_id = sh.doc_id and body.id = sh.id left join spread on spread.doc_id = sh.doc_id and spread.id = sh.id),
+shards as (select * exclude (b), (b + floor(b * 0.08) + 64)::bigint as size from made)"""
+)
+
+
+@query(_OBJECTS + " select * exclude (original_size) replace (to_json(child_ids)::varchar as child_ids, to_json(original_path)::varchar as original_path) from shards")
+def k9_objects(spark, d):
+    return _flat(_object_shards(spark, d))
+
+
+@query(
+    _TREE
+    + f""",
+e as (select n.doc_id, n.value, {_BARE.replace("jt", "n.jt").replace("value", "n.value").replace("else compact", "else n.compact")} as size, row_number() over (partition by n.doc_id order by n.id) as i from nodes n where n.depth = 1 and n.doc_id in (select doc_id from nodes group by doc_id having max(depth) filter (kind <> 'primitive') = 0 and max(if(depth = 0, kind, null)) = 'list')),
+c as (select doc_id, i, size as used, 0 as chunk, value from e where i = 1
+  union all select e.doc_id, e.i, if(c.used + e.size > 60 * 0.9, e.size, c.used + e.size), c.chunk + if(c.used + e.size > 60 * 0.9, 1, 0), e.value from e join c on c.doc_id = e.doc_id and e.i = c.i + 1),
+k as (select doc_id, chunk, min(i) - 1 as a, max(i) as z, '[' || string_agg(value, ',' order by i) || ']' as data, count(*) as m from c group by all),
+lists as (select doc_id, chunk, a, z, data, m from k union all select doc_id, 0, 0, 0, '[]', 0 from nodes where depth = 0 and kind = 'list' and n_children = 0),
+b as (select *, 228 + octet_length(encode(data)) + if(m > 0, m * 5 + 3, 0) as b from lists)
+select doc_id, chunk::int as ord, {_shard_name("chunk + 1")} as shard_id, null::varchar as parent_id, '[]' as child_ids, 'list' as data_type, if(m = 0, '["[]"]', '["[' || {{a}} || ':' || {{z}} || ']"]') as original_path,
+  if(chunk < max(chunk) over (partition by doc_id), {_shard_name("chunk + 2")}, null) as next_shard, if(chunk > 0, {_shard_name("chunk")}, null) as previous_shard, '1.0.0' as version, data, (b + floor(b * 0.08) + 64)::bigint as size, 'list' as data_structure from b""".format(a="a", z="z")
+)
+def k15_simple_lists(spark, d):
+    """Lists of scalars cut into slices at nine tenths of a small limit (K14, K15, K17, K20), slices at their true places."""
+    return _flat(sharding.shard(_simple_lists(spark, d), 60, sort=False))
+
+
+def _simple_lists(spark, d):
+    n = _nodes(spark, d).where("depth <= 1 and kind <> 'primitive'").groupBy("doc_id").agg(F.max("depth").alias("d"), F.min_by("kind", "depth").alias("k")).where("d = 0 and k = 'list'")
+    return _docs(spark, d).join(n.select("doc_id"), "doc_id", "left_semi")
+
+
+@query(SQL["k15_simple_lists"].replace("'[\"[' || a || ':' || z", "'[\"[' || (chunk * m) || ':' || ((chunk + 1) * m)"))
+def k15_simple_lists_compatible(spark, d):
+    """The same with the quirk kept that slices are numbered by the length of the current one."""
+    return _flat(sharding.shard(_simple_lists(spark, d), 60, "reference", sort=False))
+
+
+@query(
+    f"""with recursive e as (select o_custkey::varchar as doc_id, '"' || o_orderkey || '":"' || o_orderpriority || '"' as pair, row_number() over (partition by o_custkey order by o_orderkey) as i from orders),
+whole as (select doc_id, '{{{{' || string_agg(pair, ',' order by i) || '}}}}' as data, count(*) as m from e group by all),
+sized as (select *, 228 + octet_length(encode(data)) + m * 6 + 3 as b from whole),
+over as (select doc_id from sized where b + floor(b * 0.08) + 64 > 2000),
+f as (select *, 239 + octet_length(encode(pair)) + floor((239 + octet_length(encode(pair))) * 0.08)::bigint + 64 as size from e join over using (doc_id)),
+c as (select doc_id, i, size as used, 0 as chunk, pair from f where i = 1
+  union all select f.doc_id, f.i, if({{opens}}, f.size, c.used + f.size), c.chunk + if({{opens}}, 1, 0), f.pair from f join c on c.doc_id = f.doc_id and f.i = c.i + 1),
+parts as (select doc_id, chunk, '{{{{' || string_agg(pair, ',' order by i) || '}}}}' as data, count(*) as m from c group by all),
+out as (select doc_id, chunk as ord, {_shard_name("chunk + 2")} as shard_id, data, 228 + octet_length(encode(data)) + m * 6 + 3 as b, if(chunk < max(chunk) over (partition by doc_id), {_shard_name("chunk + 3")}, null) as next_shard, if(chunk > 0, {_shard_name("chunk + 1")}, null) as previous_shard from parts
+  union all select doc_id, 0, 'shard_001', data, b, null, null from sized where doc_id not in (from over))
+select doc_id, ord::int as ord, shard_id, 'dict' as data_type, data, (b + floor(b * 0.08) + 64)::bigint as size, next_shard, previous_shard from out""".format(opens="((c.used + f.size > 1445 and c.used > 0) or c.used + f.size > 1700)")
+)
+def k8_redistributed(spark, d):
+    """Objects of customers' orders, one shard each, those over a limit cut again member by member (K4, K5, K7, K8)."""
+    pair = F.struct("o_orderkey", "o_orderpriority")
+    docs = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("doc_id")).agg(F.to_json(F.map_from_entries(F.transform(F.sort_array(F.collect_list(pair)), lambda x: F.struct(x["o_orderkey"].cast("string"), x["o_orderpriority"])))).alias("json"))
+    return sharding.redistribute(sharding.shard(docs, 1 << 30, "reference", sort=False), 2000).select("doc_id", "ord", "shard_id", "data_type", "data", "size", "next_shard", "previous_shard")
+
+
+@query(
+    f"""with recursive line as (select l_orderkey, '[' || string_agg('{{{{"line":' || l_linenumber || ',"part":' || l_partkey || ',"quantity":' || l_quantity::bigint || '}}}}', ',' order by l_linenumber, l_partkey, l_quantity) || ']' as lines, count(*) as m from lineitem group by all),
+ord as (select o_custkey, o_orderkey, '{{{{"lines":' || coalesce(lines, '[]') || ',"order":' || o_orderkey || ',"status":"' || o_orderstatus || '"}}}}' as text, coalesce(m, 0) as m from orders left join line on l_orderkey = o_orderkey),
+e as (select *, octet_length(encode(text)) as size, row_number() over (partition by o_custkey order by o_orderkey) as i from ord),
+c as (select o_custkey, i, size as used, 0 as chunk, text, m from e where i = 1
+  union all select e.o_custkey, e.i, if({{opens}}, e.size, c.used + e.size), c.chunk + if({{opens}}, 1, 0), e.text, e.m from e join c on c.o_custkey = e.o_custkey and e.i = c.i + 1),
+k as (select o_custkey, chunk, min(i) - 1 as a, max(i) as z, '[' || string_agg(text, ',' order by i) || ']' as data, count(*) * 5 + 3 + sum(3 * 8 + 5 + if(m > 0, m * 9 + 7 + m * (3 * 12 + 9), 0)) as lines from c group by all),
+last as (select *, max(chunk) over (partition by o_custkey) as top from k),
+out as (
+  select o_custkey, chunk + 2 as ord, {_shard_name("chunk + 3")} as shard_id, if(chunk = 0, 'shard_001', null) as parent_id, '[]' as child_ids, 'list' as data_type, '["orders","[' || a || ':' || z || ']"]' as original_path, if(chunk < top, {_shard_name("chunk + 4")}, null) as next_shard, if(chunk > 0, {_shard_name("chunk + 2")}, null) as previous_shard, data, octet_length(encode(data)) + lines as b from last
+  union all select c_custkey, 1, 'shard_002', 'shard_001', '[]', 'dict', '["place"]', null, null, '{{{{"nation":' || c_nationkey || '}}}}', octet_length(encode('{{{{"nation":' || c_nationkey || '}}}}')) + 9 from customer
+  union all select c_custkey, 0, 'shard_001', null, '["shard_002","shard_003"]', 'dict', '[]', null, null, r.data, octet_length(encode(r.data)) + 4 * 6 + 3 + 2 * (37 + 16) from (select c_custkey, '{{{{"name":"' || c_name || '","orders":{{{{"_shard_ref":"shard_003","_shard_type":"list","_processor":"list_processor","_original_path":["orders"]}}}},"place":{{{{"_shard_ref":"shard_002","_shard_type":"dict","_processor":"dict_processor","_original_path":["place"]}}}},"segment":"' || c_mktsegment || '"}}}}' as data from customer) r)
+select o_custkey::varchar as doc_id, ord::int as ord, shard_id, parent_id, child_ids, data_type, original_path, next_shard, previous_shard, '1.0.0' as version, data, (b + 228 + floor((b + 228) * 0.08) + 64)::bigint as size, 'mixed' as data_structure from out where o_custkey in (select o_custkey from orders)""".format(opens="((c.used + e.size > 2890 and c.used > 0) or c.used + e.size > 3400)")
+)
 def k21_customer_shards(spark, d):
-    """Mixed documents made of customers with their orders and lines, cut into shards."""
+    """Mixed documents made of customers with their orders and lines, cut into shards."""
     docs = corpus.from_orders(table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "customer"))
     return _flat(sharding.shard(docs, LIMIT))
 
@@ -412,10 +514,15 @@ def k27_sorted_keys(spark, d):
     return corpus.canonical(_docs(spark, d), sort=True)
 
 
-@query()
+@query(_OBJECTS + " select doc_id, version, max(original_size) as original_size, count(*)::int as shard_count, min(shard_id) filter (ord = 0) as root_shard, data_structure from shards group by all")
 def s1_document_table(spark, d):
-    docs = _docs(spark, d)
-    return sharding.document_table(sharding.shard(docs, LIMIT), docs)
+    docs = _objects(spark, d)
+    return sharding.document_table(_object_shards(spark, d), docs)
+
+
+@query(_OBJECTS + """ select doc_id, '{"version":"1.0.0","originalSize":' || max(original_size) || ',"shardCount":' || count(*) || ',"rootShard":"shard_001","createdAt":"2026-07-01T00:00:00","dataStructure":"' || data_structure || '"}' as text from shards group by doc_id, data_structure""")
+def s9_global_metadata(spark, d):
+    return sinks.global_metadata(s1_document_table(spark, d), "2026-07-01T00:00:00")
 
 
 @query(f"with recursive {_DOCS} select count(*) as documents, true as equal from docs")
@@ -436,9 +543,17 @@ def s10_filenames(spark, d):
     return rec.select("run_id", "shard_id", sinks.filename().alias("filename"))
 
 
-@query()
+_NAME = """array_to_string([shard_id] || list_filter(list_transform(original_path[-2:], lambda x: regexp_replace(regexp_replace(x, '[\\[\\]]', '', 'g'), '[:/\\\\]', '_', 'g')), lambda x: x <> '') || [data_type], '_') || '.json'"""
+
+
+@query(_OBJECTS + f" select doc_id, ord, shard_id, {_NAME} as filename, data_type as type, size, parent_id, to_json(child_ids)::varchar as child_ids, next_shard, previous_shard from shards")
 def s11_index(spark, d):
-    return sinks.index(_shards(spark, d))
+    return sinks.index(_object_shards(spark, d)).withColumn("child_ids", F.to_json("child_ids"))
+
+
+@query(_OBJECTS + " select doc_id, '1.0.0' as version, count(*) as total_shards, sum(size)::bigint as total_size from shards group by all")
+def s11_totals(spark, d):
+    return sinks.index_totals(_object_shards(spark, d))
 
 
 # links
