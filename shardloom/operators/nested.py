@@ -61,20 +61,29 @@ def _objects(batches):
             in_array = pa.array((up >= 0) & (x.typ[np.maximum(up, 0)] != OBJ))
             child = pc.cast(out["child_ptr"], pa.string())
             parent = pc.if_else(pc.equal(child, ""), None, pc.cast(out["parent_ptr"], pa.string()))
-            cols = [part.column("run_id").take(at), part.column("shard_id").take(at), parent, child, pc.cast(out["table_path"], pa.string()), in_array, fields(x, token)]
-            whole = pa.table(cols, ["run_id", "shard_id", "parent_ptr", "child_ptr", "table_path", "in_array", "fields"])
+            cols = [*(part.column(c).take(at) for c in ("run_id", "shard_id")), parent, child, pc.cast(out["table_path"], pa.string()), in_array, fields(x, token), *(part.column(c).take(at) for c in ("original_path", "data_type"))]
+            whole = pa.table(cols, [c.split()[0] for c in _FLAT.split(", ")])
             yield from whole.to_batches(max_chunksize=20_000)
 
 
+_FLAT = "run_id bigint, shard_id string, parent_ptr string, child_ptr string, table_path string, in_array boolean, fields map<string;string>, original_path array<string>, data_type string"
+
+
+def one_delivery(shards: DataFrame) -> DataFrame:
+    """(run_id, shard_id, data) of each stored shard, one whole row of its deliveries: the first written (where there is a time), of those the one of the least hash; null texts are left out."""
+    first = ([F.col("written_at")] if "written_at" in shards.columns else []) + [F.xxhash64("data")]
+    return shards.where("data is not null").groupBy("run_id", "shard_id").agg(F.min_by("data", F.struct(*first)).alias("data"))
+
+
 def flat_objects(shards: DataFrame, meta: DataFrame) -> DataFrame:
     """Every object of every valid text as a row that names the object it lay in.
 
     parent_ptr: pointer of the nearest enclosing object ('' can be the root object; null for rows that lie in no
     object and hold the pointer '' themselves); table_path: the pointer with element numbers replaced by *, the name of
     the flat table; fields: own scalar members as JSON texts. original_path and data_type come from shard_meta (null
-    where it has no record); of repeated deliveries the one with the least values is taken.
+    where it has no record); of repeated deliveries there the one with the least values is taken. Texts are shuffled
+    once by their key, to have one delivery of each beside its place; flattening follows, so flat rows are not shuffled.
     """
-    one = shards.where("data is not null").select("run_id", "shard_id", "data").mapInArrow(_objects, "run_id bigint, shard_id string, parent_ptr string, child_ptr string, table_path string, in_array boolean, fields map<string,string>")
-    one = one.dropDuplicates(["run_id", "shard_id", "child_ptr"])
     place = meta.groupBy("run_id", "shard_id").agg(F.min("original_path").alias("original_path"), F.min("data_type").alias("data_type"))
-    return one.join(place, ["run_id", "shard_id"], "left")
+    rows = one_delivery(shards).join(place, ["run_id", "shard_id"], "left")
+    return rows.mapInArrow(_objects, _FLAT.replace(";", ","))

@@ -32,8 +32,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_flat(spark: SparkSession, d: str) -> DataFrame:
+    """All objects of all texts; members as a JSON object of their JSON texts, escapes in strings folded."""
     flat = nested.flat_objects(table(spark, d, "file_shard"), table(spark, d, "shard_meta"))
-    return flat.withColumns({"fields": F.to_json("fields"), "original_path": F.to_json("original_path")})
+    fields = F.to_json(F.transform_values("fields", lambda k, v: F.when(v.startswith('"'), F.to_json(F.try_parse_json(v))).otherwise(v)))
+    return flat.withColumns({"fields": fields, "original_path": F.to_json("original_path")})
 
 
 def _state(spark: SparkSession, d: str, step: int = 6) -> tuple[orphans.OrphanState, list[str]]:
@@ -131,6 +133,20 @@ n as (
   from t join n on t.run_id = n.run_id and t.shard_id = n.shard_id and t.parent = n.id
 )
 select distinct run_id, shard_id, near as parent_ptr, ptr as child_ptr from n where hit""",
+    "p2_flat": """
+with recursive docs as (select distinct run_id, shard_id, if(json_type(data) = 'VARCHAR', json_extract_string(data, '$'), data) as j from file_shard where json_valid(data)),
+ok as materialized (select * from docs where json_valid(j) and json_type(j) in ('OBJECT', 'ARRAY') and not regexp_matches(regexp_replace(j, '"([^"\\\\]|\\\\.)*"', '', 'gs'), '(?i)nan|inf')),
+t as materialized (select run_id, shard_id, x.id, x.parent, x.key, x.type, x.value::varchar as value from ok, json_tree(ok.j) x),
+n as (
+  select run_id, shard_id, id, type, '' as ptr, '' as near, '' as tp, false as in_array from t where parent is null
+  union all
+  select t.run_id, t.shard_id, t.id, t.type, n.ptr || '/' || replace(replace(t.key, '~', '~0'), '/', '~1'), if(n.type = 'OBJECT', n.ptr, n.near), n.tp || '/' || if(n.type = 'ARRAY', '*', replace(replace(t.key, '~', '~0'), '/', '~1')), n.type = 'ARRAY'
+  from t join n on t.run_id = n.run_id and t.shard_id = n.shard_id and t.parent = n.id
+),
+own as (select run_id, shard_id, parent as id, string_agg(to_json(key)::varchar || ':' || to_json(value)::varchar, ',' order by id) as f from t where type not in ('OBJECT', 'ARRAY') group by all),
+place as (select run_id, shard_id, min(original_path) as original_path, min(data_type) as data_type from shard_meta group by all)
+select run_id, shard_id, if(ptr = '', null, near) as parent_ptr, ptr as child_ptr, tp as table_path, in_array, '{' || coalesce(f, '') || '}' as fields, to_json(original_path)::varchar as original_path, data_type
+from n left join own using (run_id, shard_id, id) left join place using (run_id, shard_id) where type = 'OBJECT'""",
     "p4_found": _STATES + " select distinct src_table, run_id, shard_id, ref_field, ref_id, state, period from judged where state <> 'held'",
     "p4_counts": _STATES + " select src_table, period, state, count(*) as n from (select distinct * from judged) group by all",
     "p4_monthly": """

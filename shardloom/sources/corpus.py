@@ -21,8 +21,10 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_shards(shards: DataFrame) -> DataFrame:
-    """The texts of file_shard as documents of their own, by `run_id/shard_id`; repeated rows count once."""
-    return shards.select(F.concat_ws("/", F.col("run_id").cast("string"), "shard_id").alias("doc_id"), F.col("data").alias("json")).dropDuplicates(["doc_id"])
+    """The texts of file_shard as documents of their own, by `run_id/shard_id`; of several deliveries the first written, of those the one of the least hash; null texts come last."""
+    first = ([F.col("written_at")] if "written_at" in shards.columns else []) + [F.xxhash64("data")]
+    rows = shards.select(F.concat_ws("/", F.col("run_id").cast("string"), "shard_id").alias("doc_id"), F.col("data").alias("json"), F.struct(F.col("data").isNull(), *first).alias("first_"))
+    return rows.groupBy("doc_id").agg(F.min_by("json", "first_").alias("json"))
 
 
 def from_events(events: DataFrame) -> DataFrame:
