@@ -143,11 +143,14 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
 
 
 def shares(mixture: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, documents, available, used_documents, tokens, actual_share) by source of the target; shares of an empty mixture are null."""
+    """(source, target_share, max_repeats, documents, available, used_documents, tokens, actual_share, binding) by source of the target; shares of an empty mixture are null.
+
+    binding: whether all that the source has is used as often as it may be, so that it holds the size of the mixture down.
+    """
     got = mixture.groupBy("source").agg(F.count("*").alias("used_documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     rows = sizes.join(got, "source", "left").fillna(0, ["used_documents", "tokens"])
     whole = F.sum("tokens").over(Window.partitionBy())  # over the sources of the target, not over documents
-    return rows.select("source", "target_share", "max_repeats", "documents", "available", "used_documents", "tokens", (F.col("tokens") / F.when(whole > 0, whole)).alias("actual_share"))
+    return rows.select("source", "target_share", "max_repeats", "documents", "available", "used_documents", "tokens", (F.col("tokens") / F.when(whole > 0, whole)).alias("actual_share"), ((F.col("available") > 0) & (F.col("tokens") >= F.col("available") * F.col("max_repeats"))).alias("binding"))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, DataFrame]:

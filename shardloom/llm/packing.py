@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import map_groups
+from ..cluster import cut, map_groups
 
 #: Containers' worth of items in a block.
 BLOCK = 2048
@@ -102,7 +102,8 @@ def assign(items: DataFrame, spec: DataFrame, block: int = BLOCK) -> DataFrame:
     (data_structure).
     """
     cap = spec.select("data_structure", "capacity_bytes").where("data_structure is not null and capacity_bytes > 0").groupBy("data_structure").agg(F.min("capacity_bytes").alias("capacity_bytes"))
-    rows = items.select("run_id", "shard_id", "data_structure", "bytes").join(cap, "data_structure", "left")
+    # lengths are wanted twice, for the totals and for the packing; texts are read for them once
+    rows = cut(items.select("run_id", "shard_id", "data_structure", "bytes").join(cap, "data_structure", "left"))
     c, b = F.col("capacity_bytes"), F.col("bytes")
     n = F.when(b > c, F.ceil(b / c)).otherwise(1)
     parts = rows.select("run_id", "shard_id", "data_structure", "capacity_bytes", b.alias("whole"), n.cast("int").alias("n_pieces"), F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("piece"))

@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 #: white space; an escaped line end; any other place between characters. Within the strings of a JSON text all cost more.
 PENALTY = {"line": 0.0, "container": 0.05, "comma": 0.15, "sentence": 0.2, "escaped_line": 0.15, "space": 0.4, "inside": 1.0}
 IN_STRING = 0.3
-#: A cut may lie at the best place of each so many bytes; 1 tries all of them.
-GRAIN = 16
+#: The program runs over the places that no better one is near, then over all places within NEAR bytes of the cuts it
+#: found; 0 tries all at once. A better place is near if it makes up for REACH times the imbalance on the way: with 1 no
+#: place is lost that could be needed but for the limit; more leaves it more ways to keep to the limit.
+NEAR, REACH = 32, 8.0
 #: Weight of the squared deviation of a piece from the mean length against one penalty.
 BALANCE = 0.5
 
+#: Tasks of the splitting for each of the scan.
+SPREAD = 4
+
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?;"]] = True
 _SPACE = np.zeros(256, bool)
@@ -67,12 +72,12 @@ def cut_penalties(raw: bytes) -> np.ndarray:
     return pen
 
 
-def split(raw: bytes, limit: int, overlap: int, grain: int = GRAIN) -> list[tuple[int, int, int]]:
+def split(raw: bytes, limit: int, overlap: int, near: int = NEAR) -> list[tuple[int, int, int]]:
     """(start, end, bytes shared with the piece before) of the pieces of `raw`.
 
     Every piece has at most `limit` bytes, the shared ones included. The shared bytes are `overlap` or, where that
     would start inside a character or an escape, the nearest number at which it does not (the larger of two, while it
-    stays under the limit). Texts within the limit are one piece; an empty text too. Where no character fits (limit
+    stays under the limit); at most half the limit is shared, as pieces would not get on else. Texts within the limit are one piece; an empty text too. Where no character fits (limit
     below its bytes) the character is cut.
     """
     n = len(raw)
@@ -90,37 +95,51 @@ def split(raw: bytes, limit: int, overlap: int, grain: int = GRAIN) -> list[tupl
     begin = np.maximum(np.where(np.abs(lo - want) <= np.abs(hi - want), lo, hi), 0)  # start of a piece whose own part begins at ok
     begin = np.minimum(begin, ok)
     begin[0] = 0
-    # candidates: the best place of each grain, ties to the later
-    if grain > 1 and len(ok) > 2:
-        cell = ok // grain
-        best = np.lexsort((-ok, pen[ok], cell))
-        cand = np.sort(best[np.r_[True, cell[best][1:] != cell[best][:-1]]])
-        cand = np.unique(np.r_[0, cand, len(ok) - 1])
-    else:
-        cand = np.arange(len(ok))
-    for _ in range(2):
-        pos, frm, cost = ok[cand], begin[cand], pen[ok[cand]]
-        pieces = max(1, int(np.ceil((n - overlap) / max(1, limit - overlap))))
-        mean = n / pieces
-        m = len(cand)
-        total, back = np.full(m, np.inf), np.full(m, -1)
-        total[0] = 0.0
-        first = np.searchsorted(frm, pos - limit)  # frm ascends with pos
-        for i in range(1, m):
-            a = first[i]
-            if a >= i:
-                continue
-            t = total[a:i] + BALANCE * ((pos[i] - pos[a:i]) / mean - 1.0) ** 2
-            k = int(np.argmin(t))
-            total[i], back[i] = t[k] + cost[i], a + k
-        if np.isfinite(total[-1]):
-            break
-        cand = np.arange(len(ok))  # too coarse for this limit
+    pieces = max(1, int(np.ceil((n - overlap) / max(1, limit - overlap))))
+    cand = every = np.arange(len(ok))
+    if near > 0 and len(ok) > 2:
+        # moving a cut by d bytes changes the imbalance by d over the mean at most, so no place is needed that has a better one
+        # so near that this makes up for less than the difference of penalties
+        slope = REACH * pieces / n
+        down, up = pen[ok] - slope * ok, pen[ok] + slope * ok
+        least = np.minimum(np.minimum.accumulate(down) + slope * ok, np.minimum.accumulate(up[::-1])[::-1] - slope * ok)
+        cand = np.unique(np.r_[0, np.flatnonzero(pen[ok] <= least + 1e-12), len(ok) - 1])
+    program = lambda c: _cheapest(ok[c], begin[c], pen[ok[c]], limit, n / pieces)
+    cuts = program(cand)
+    if cuts is None and len(cand) < len(every):  # too few for this limit
+        cand, cuts = every, program(every)
+    if len(cand) < len(every):
+        # once more over all places near the cuts found, as the limit may keep a cut from its best place
+        at = ok[cand[cuts]]
+        lo, hi = np.searchsorted(ok, at - near), np.searchsorted(ok, at + near, "right")
+        cand = np.unique(np.concatenate([np.r_[0, len(ok) - 1], *(np.arange(a, b) for a, b in zip(lo, hi))]))
+        cuts = program(cand)
+    pos, frm = ok[cand], begin[cand]
+    return [(int(frm[a]), int(pos[b]), int(pos[a] - frm[a])) for a, b in zip(cuts, cuts[1:])]
+
+
+def _cheapest(pos: np.ndarray, frm: np.ndarray, cost: np.ndarray, limit: int, mean: float) -> list[int] | None:
+    """The cuts, as numbers of places, with the least sum of costs and imbalance; None if no way keeps to the limit.
+
+    A piece that ends at pos[i] and whose own part begins at pos[a] takes the bytes from frm[a] on.
+    """
+    m = len(pos)
+    total, back = np.full(m, np.inf), np.full(m, -1)
+    total[0] = 0.0
+    first = np.searchsorted(frm, pos - limit)  # frm ascends with pos
+    for i in range(1, m):
+        a = first[i]
+        if a >= i:
+            continue
+        t = total[a:i] + BALANCE * ((pos[i] - pos[a:i]) / mean - 1.0) ** 2
+        k = int(np.argmin(t))
+        total[i], back[i] = t[k] + cost[i], a + k
+    if not np.isfinite(total[-1]):
+        return None
     cuts = [m - 1]
     while cuts[-1] > 0:
         cuts.append(int(back[cuts[-1]]))
-    cuts.reverse()
-    return [(int(frm[a]), int(pos[b]), int(pos[a] - frm[a])) for a, b in zip(cuts, cuts[1:])]
+    return cuts[::-1]
 
 
 _OUT = "run_id bigint, shard_id string, data_structure string, max_bytes bigint, piece int, n_pieces int, start_byte bigint, end_byte bigint, shared_bytes bigint, text string"
@@ -155,7 +174,9 @@ def oversized(shards: DataFrame, docs: DataFrame, limits: DataFrame) -> DataFram
 def split_shards(shards: DataFrame, docs: DataFrame, limits: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """Numbered pieces of each oversized shard: (run_id, shard_id, data_structure, max_bytes, piece, n_pieces, start_byte, end_byte, shared_bytes, text[, original_path])."""
     rows = oversized(shards, docs, limits).select("run_id", "shard_id", "data", "data_structure", "max_bytes", "overlap_bytes")
-    out = rows.repartition("run_id", "shard_id").mapInArrow(_run, _OUT)
+    # work is by the byte and heavy, so it is spread more widely than shuffled bytes would ask for, in step with the scan
+    parts = SPREAD * max(1, shards.rdd.getNumPartitions())
+    out = rows.repartition(parts, "run_id", "shard_id").mapInArrow(_run, _OUT)
     if meta is None:
         return out
     return out.join(meta.groupBy("run_id", "shard_id").agg(F.min("original_path").alias("original_path")), ["run_id", "shard_id"], "left")

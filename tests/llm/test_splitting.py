@@ -4,8 +4,8 @@ import random
 from shardloom.llm import splitting as S
 
 
-def check(raw, limit, overlap, grain):
-    got = S.split(raw, limit, overlap, grain)
+def check(raw, limit, overlap, near):
+    got = S.split(raw, limit, overlap, near)
     if len(raw) <= limit:
         assert got == [(0, len(raw), 0)]
         return got
@@ -22,8 +22,8 @@ def test_limits_and_overlap():
         text = "".join(r.choice(["word ", "é", "漢字", "🙂", "x" * 30, "\n", '","', "},", "\\u00e9", "\\n", ". "]) for _ in range(r.randint(0, 400)))
         limit = r.choice([40, 100, 500])
         overlap = r.choice([0, 5, limit // 3])
-        for grain in (1, 16):
-            got = check(text.encode(), limit, overlap, grain)
+        for near in (0, 32):
+            got = check(text.encode(), limit, overlap, near)
             for a, b, s in got:
                 text.encode()[a:b].decode()  # whole characters only
             for a, b, s in got[1:]:
@@ -32,11 +32,11 @@ def test_limits_and_overlap():
 
 def test_natural_boundaries():
     raw = json.dumps([{"id": i, "text": "some words here " * 3} for i in range(80)], separators=(",", ":")).encode()
-    got = check(raw, 1000, 0, 16)
+    got = check(raw, 1000, 0, 32)
     assert all(raw[b - 2 : b] == b"}," for _, b, _ in got[:-1])
     lines = ("line of text\n" * 200).encode()
-    assert all(lines[b - 1 : b] == b"\n" for _, b, _ in check(lines, 300, 20, 16))
-    assert len(check(b"x" * 1000, 300, 0, 16)) == 4
+    assert all(lines[b - 1 : b] == b"\n" for _, b, _ in check(lines, 300, 20, 32))
+    assert len(check(b"x" * 1000, 300, 0, 32)) == 4
 
 
 def test_indivisible_units():
@@ -60,7 +60,26 @@ def test_operator(spark):
 
 def test_strings_are_spared():
     raw = json.dumps({f"k{i}": "one, two. three, four" for i in range(60)}, separators=(",", ":")).encode()
-    for _, b, _ in check(raw, 300, 0, 4)[:-1]:
+    for _, b, _ in check(raw, 300, 0, 8)[:-1]:
         assert raw[b - 2 : b] == b'",'
     body = json.dumps({"t": "\n".join("some line of text" for _ in range(100))}).encode()
-    assert all(body[b - 2 : b] == b"\\n" for _, b, _ in check(body, 400, 0, 1)[:-1])
+    assert all(body[b - 2 : b] == b"\\n" for _, b, _ in check(body, 400, 0, 0)[:-1])
+
+
+def cost(raw, pieces, limit, overlap):
+    pen = S.cut_penalties(raw)
+    mean = len(raw) / max(1, int(-(-(len(raw) - overlap) // max(1, limit - overlap))))
+    own = [a + s for a, _, s in pieces] + [len(raw)]
+    return sum(pen[p] for p in own[1:-1]) + S.BALANCE * sum(((b - a) / mean - 1) ** 2 for a, b in zip(own, own[1:]))
+
+
+def test_near_the_best():
+    r = random.Random(3)
+    worse = []
+    for k in range(25):
+        raw = json.dumps([{"id": i, "text": " ".join(r.choice(["quay", "berth", "é", "sluice."]) for _ in range(r.randint(1, 30)))} for i in range(60)], ensure_ascii=False).encode()
+        limit, overlap = r.choice([400, 900]), r.choice([0, 30])
+        best, found = (cost(raw, S.split(raw, limit, overlap, g), limit, overlap) for g in (0, S.NEAR))
+        assert found >= best - 1e-9
+        worse.append(found / best - 1)
+    assert max(worse) < 0.02 and sum(worse) / len(worse) < 0.002
