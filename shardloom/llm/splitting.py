@@ -23,6 +23,8 @@ NEAR, REACH = 32, 8.0
 #: Weight of the squared deviation of a piece from the mean length against one penalty.
 BALANCE = 0.5
 
+#: Places of a run that are worked off at once.
+RUN = 64
 #: Tasks of the splitting for each of the scan.
 SPREAD = 4
 
@@ -121,19 +123,34 @@ def split(raw: bytes, limit: int, overlap: int, near: int = NEAR) -> list[tuple[
 def _cheapest(pos: np.ndarray, frm: np.ndarray, cost: np.ndarray, limit: int, mean: float) -> list[int] | None:
     """The cuts, as numbers of places, with the least sum of costs and imbalance; None if no way keeps to the limit.
 
-    A piece that ends at pos[i] and whose own part begins at pos[a] takes the bytes from frm[a] on.
+    A piece that ends at pos[i] and whose own part begins at pos[a] takes the bytes from frm[a] on. Places are worked
+    off in runs much shorter than a piece: what comes from before the run is found for all its places at once, and
+    places within the run are tried one by one only where so short a piece could pay.
     """
     m = len(pos)
     total, back = np.full(m, np.inf), np.full(m, -1)
     total[0] = 0.0
     first = np.searchsorted(frm, pos - limit)  # frm ascends with pos
-    for i in range(1, m):
-        a = first[i]
-        if a >= i:
-            continue
-        t = total[a:i] + BALANCE * ((pos[i] - pos[a:i]) / mean - 1.0) ** 2
-        k = int(np.argmin(t))
-        total[i], back[i] = t[k] + cost[i], a + k
+    i = 1
+    while i < m:
+        to = min(i + RUN, int(np.searchsorted(pos, pos[i] + mean / 8, "right")))
+        lo = int(first[i])
+        if lo < i:
+            t = total[lo:i] + BALANCE * ((pos[i:to, None] - pos[lo:i]) / mean - 1.0) ** 2
+            t[np.arange(lo, i) < first[i:to, None]] = np.inf
+            k = np.argmin(t, axis=1)
+            best = t[np.arange(to - i), k]
+            total[i:to], back[i:to] = best + cost[i:to], np.where(np.isfinite(best), lo + k, -1)
+        short = BALANCE * (1.0 - (pos[to - 1] - pos[i]) / mean) ** 2
+        if not (total[i:to].min() + short >= (total[i:to] - cost[i:to]).max()):
+            for j in range(i + 1, to):
+                a = max(i, int(first[j]))
+                if a < j:
+                    t = total[a:j] + BALANCE * ((pos[j] - pos[a:j]) / mean - 1.0) ** 2
+                    k = int(np.argmin(t))
+                    if t[k] + cost[j] < total[j]:
+                        total[j], back[j] = t[k] + cost[j], a + k
+        i = to
     if not np.isfinite(total[-1]):
         return None
     cuts = [m - 1]

@@ -1,6 +1,8 @@
 import json
 import random
 
+import numpy as np
+
 from shardloom.llm import splitting as S
 
 
@@ -83,3 +85,21 @@ def test_near_the_best():
         assert found >= best - 1e-9
         worse.append(found / best - 1)
     assert max(worse) < 0.02 and sum(worse) / len(worse) < 0.002
+
+
+def test_runs_make_no_difference():
+    r = random.Random(5)
+    for _ in range(300):
+        m = r.randint(2, 90)
+        pos = np.cumsum([0, *(r.choice([1, 2, 30, 90]) for _ in range(m - 1))])
+        frm = np.maximum(0, pos - np.where(pos > 0, r.choice([0, 3]), 0))
+        cost = np.array([0.0, *(r.choice([0.0, 0.2, 1.0, 50.0]) for _ in range(m - 2)), 0.0])
+        limit, mean = r.choice([40, 95, 300]), r.choice([30.0, 80.0])
+        best = [0.0]
+        for i in range(1, m):
+            best.append(min((best[a] + S.BALANCE * ((pos[i] - pos[a]) / mean - 1) ** 2 for a in range(i) if pos[i] - frm[a] <= limit), default=float("inf")) + cost[i])
+        cuts = S._cheapest(pos, frm, cost, limit, mean)
+        assert (cuts is None) == (best[-1] == float("inf"))
+        if cuts:
+            assert all(pos[b] - frm[a] <= limit for a, b in zip(cuts, cuts[1:]))
+            assert abs(sum(cost[c] for c in cuts[1:]) + sum(S.BALANCE * ((pos[b] - pos[a]) / mean - 1) ** 2 for a, b in zip(cuts, cuts[1:])) - best[-1]) < 1e-9
