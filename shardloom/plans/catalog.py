@@ -509,9 +509,71 @@ def k21_customer_shards(spark, d):
     return _flat(sharding.shard(docs, LIMIT))
 
 
-@query()
+@query(
+    """with recursive all_docs as (select distinct run_id || '/' || shard_id as doc_id, data from file_shard), sound as (select *, coalesce(case when json_valid(data) then json_type(data) in ('OBJECT', 'ARRAY') end, false) as ok from all_docs), """
+    + _tree(docs="docs as (select doc_id, data from sound where ok)").removeprefix("with recursive ")
+    + """,
+ranked as (select n.*, row_number() over (partition by n.doc_id, n.parent order by if(p.kind = 'dict', n.key, ''), n.id) as rank, p.kind as within from nodes n left join nodes p on p.doc_id = n.doc_id and p.id = n.parent),
+place as (select doc_id, id, kind, value, key, within, rank, '' as spot from ranked where parent is null
+  union all select r.doc_id, r.id, r.kind, r.value, r.key, r.within, r.rank, place.spot || printf('%06d', r.rank) from ranked r join place on place.doc_id = r.doc_id and place.id = r.parent),
+token as (select doc_id, spot, if(spot <> '' and rank > 1, ',', '') || if(within = 'dict', to_json(key)::varchar || ':', '') || case kind when 'dict' then '{' when 'list' then '[' else value end as text from place
+  union all select doc_id, spot || '~', if(kind = 'dict', '}', ']') from place where kind <> 'primitive'),
+made as (select doc_id, string_agg(text, '' order by spot) as json from token group by all)
+select doc_id, json, case when ok then null when json_valid(data) then 'STRUCTURE' else 'SYNTAX' end as error_type from sound left join made using (doc_id)"""
+)
 def k27_sorted_keys(spark, d):
-    return corpus.canonical(_docs(spark, d), sort=True)
+    return corpus.canonical(_docs(spark, d), sort=True).select("doc_id", "json", "error_type")
+
+
+@query(_TREE + " select doc_id, true as dense, true as parents, true as children, true as chained, true as named from nodes where depth = 0")
+def k9_links(spark, d):
+    """Of the lossless shards of each document, whether ids and order are dense, parents and children name each other, next and previous as well, and all places are texts."""
+    s = _shards(spark, d)
+    other = s.select("doc_id", F.col("shard_id").alias("o"), F.col("child_ids").alias("o_kids"), F.col("parent_id").alias("o_parent"), F.col("previous_shard").alias("o_previous"))
+    up = s.where("parent_id is not null").withColumnRenamed("parent_id", "o").join(other, ["doc_id", "o"], "left").groupBy("doc_id").agg(F.bool_and(F.col("o_kids").isNotNull()).alias("parents"))
+    down = s.select("doc_id", "shard_id", F.explode("child_ids").alias("o")).join(other, ["doc_id", "o"], "left").groupBy("doc_id").agg(F.bool_and(F.col("o_parent").eqNullSafe(F.col("shard_id"))).alias("children"))
+    on = s.where("next_shard is not null").withColumnRenamed("next_shard", "o").join(other, ["doc_id", "o"], "left").groupBy("doc_id").agg(F.bool_and(F.col("o_previous").eqNullSafe(F.col("shard_id"))).alias("chained"))
+    own = s.groupBy("doc_id").agg(((F.count("*") == F.count_distinct("shard_id")) & (F.max("ord") == F.count("*") - 1)).alias("dense"), F.bool_and(F.col("original_path").isNotNull() & F.col("shard_id").startswith("shard_")).alias("named"))
+    j = own.join(up, "doc_id", "left").join(down, "doc_id", "left").join(on, "doc_id", "left")
+    return j.select("doc_id", "dense", *(F.coalesce(c, F.lit(True)).alias(c) for c in ("parents", "children", "chained")), "named")
+
+
+def _mixed_lists(spark, d):
+    m = A.classify(A.children_of_root(_nodes(spark, d))).where("structure = 'mixed' and root_kind = 'list'")
+    return _docs(spark, d).join(m.select("doc_id"), "doc_id", "left_semi")
+
+
+@query(
+    _OBJECTS.split(",\nshare as")[0].replace("= 'OBJECT'", "= 'ARRAY'", 1)
+    + f""",
+kinds as (select doc_id, count(distinct kind) as k from nodes where depth = 1 group by all),
+item as (select n.doc_id, n.id, n.kind, n.value, n.n_children, row_number() over (partition by n.doc_id order by n.id) - 1 as i,
+    n.kind <> 'primitive' and (n.n_children > if(n.kind = 'dict', 10, 20) or exists (from nodes c where c.doc_id = n.doc_id and c.parent = n.id and c.kind <> 'primitive')) as heavy
+  from nodes n join kinds using (doc_id) where n.depth = 1 and k > 1),
+run as (select *, sum(if(heavy, 1, 0)) over (partition by doc_id order by i) as g from item),
+slice as (select doc_id, min(i) as i, max(i) + 1 as z, '[' || string_agg(value, ',' order by i) || ']' as data from run where not heavy group by doc_id, g),
+-- what lies in heavy items: an object gives a shard, so does a non-empty list below objects; a list as item gives one
+inside as (select item.doc_id, item.i, item.id as top, n.id, n.parent, n.kind, n.okey, n.value, n.n_children, n.path[2:] as path, n.key, n.id = item.id as head from item join nodes n on n.doc_id = item.doc_id and list_contains(n.line, item.id)
+  where heavy and (n.id = item.id or (item.kind = 'dict' and n.kind <> 'primitive' and (n.kind = 'dict' or n.n_children > 0) and not exists (from nodes u where u.doc_id = n.doc_id and list_contains(n.line[3:-2], u.id) and u.kind = 'list')))),
+-- ids: within a heavy item its parts in order, then the wrapper; slices one each
+number as (select doc_id, i, sub, row_number() over (partition by doc_id order by i, sub) as no, id from (select doc_id, i, row_number() over (partition by doc_id, i order by okey) as sub, id from inside union all select doc_id, i, 1000000, null from item where heavy union all select doc_id, i, 1, null from slice)),
+shards as (
+  select slice.doc_id, slice.i, 0 as sub, no, null::bigint as parent, []::bigint[] as kids, 'list' as data_type, ['[' || slice.i || ':' || z || ']'] as path from slice join number using (doc_id, i) where number.id is null
+  union all select item.doc_id, item.i, 0, w.no, null, [h.no], item.kind, ['[' || item.i || ']'] from item join number w on w.doc_id = item.doc_id and w.i = item.i and w.sub = 1000000 join number h on h.doc_id = item.doc_id and h.i = item.i and h.sub = 1
+  union all select x.doc_id, x.i, n.sub, n.no, coalesce(u.no, w.no), coalesce((select list(k.no order by k.no) from number k join inside y on y.doc_id = k.doc_id and y.id = k.id where k.doc_id = x.doc_id and y.parent = x.id and y.i = x.i), []), x.kind,
+      if(x.head and x.kind = 'list', [if(x.n_children = 0, '[]', '[0:' || x.n_children || ']')], x.path)
+    from inside x join number n on n.doc_id = x.doc_id and n.id = x.id join number w on w.doc_id = x.doc_id and w.i = x.i and w.sub = 1000000 left join number u on u.doc_id = x.doc_id and u.id = x.parent and not x.head),
+o as (select *, row_number() over (partition by doc_id order by i, sub) - 1 as ord from shards),
+chained as (select doc_id, ord, lag(no) over w as before, lead(no) over w as after from o where data_type = 'list' window w as (partition by doc_id order by ord))
+select o.doc_id, o.ord::int as ord, {_shard_name("no")} as shard_id, if(parent is null, null, {_shard_name("parent")}) as parent_id, to_json(list_transform(kids, lambda x: {_shard_name("x")}))::varchar as child_ids, data_type, to_json(path)::varchar as original_path,
+  if(after is null, null, {_shard_name("after")}) as next_shard, if(before is null, null, {_shard_name("before")}) as previous_shard from o left join chained using (doc_id, ord)"""
+)
+def k23_mixed_lists(spark, d):
+    """Lists with elements of several kinds, cut where the structure demands it and nowhere else, quirks kept."""
+    s = _flat(sharding.shard(_mixed_lists(spark, d), 1 << 30, "reference", sort=False))
+    return s.select("doc_id", "ord", "shard_id", "parent_id", "child_ids", "data_type", "original_path", "next_shard", "previous_shard")
+
+
 
 
 @query(_OBJECTS + " select doc_id, version, max(original_size) as original_size, count(*)::int as shard_count, min(shard_id) filter (ord = 0) as root_shard, data_structure from shards group by all")
