@@ -34,7 +34,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_flat(spark: SparkSession, d: str) -> DataFrame:
     """All objects of all texts; members as a JSON object of their JSON texts, escapes in strings folded."""
     flat = nested.flat_objects(table(spark, d, "file_shard"), table(spark, d, "shard_meta"))
-    fields = F.to_json(F.transform_values("fields", lambda k, v: F.when(v.startswith('"'), F.to_json(F.try_parse_json(v))).otherwise(v)))
+    fields = F.to_json(F.transform_values("fields", lambda k, v: F.when(v.startswith('"') & v.contains("\\"), F.to_json(F.try_parse_json(v))).otherwise(v)))
     return flat.withColumns({"fields": fields, "original_path": F.to_json("original_path")})
 
 
@@ -52,9 +52,9 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return _state(spark, d)[0].snapshot()
 
 
-def p4_monthly(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by state after each monthly batch, from the differences that the batches left."""
-    state, months = _state(spark, d, 1)
+def p4_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by state after each quarter's batch, from the differences that the batches left."""
+    state, months = _state(spark, d, 3)
     names = F.array(*(F.lit(m) for m in months))
     rows = state.deltas().groupBy("batch", "src_table", "state").agg(F.sum("n").alias("n"))
     later = rows.withColumn("batch", F.explode(F.sequence("batch", F.lit(len(months)))))
@@ -94,7 +94,7 @@ judged as (
   from refs r left join st using (run_id, ref_id) left join rm using (run_id, ref_id) where r.ref_id <> ''
 )"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p1_hierarchy, p1_descendants, p2_found, p2_flat, p4_found, p4_counts, p4_monthly)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p1_hierarchy, p1_descendants, p2_found, p2_flat, p4_found, p4_counts, p4_snapshots)}
 
 SQL = {
     "p1_found": _UP
@@ -149,12 +149,12 @@ select run_id, shard_id, if(ptr = '', null, near) as parent_ptr, ptr as child_pt
 from n left join own using (run_id, shard_id, id) left join place using (run_id, shard_id) where type = 'OBJECT'""",
     "p4_found": _STATES + " select distinct src_table, run_id, shard_id, ref_field, ref_id, state, period from judged where state <> 'held'",
     "p4_counts": _STATES + " select src_table, period, state, count(*) as n from (select distinct * from judged) group by all",
-    "p4_monthly": """
+    "p4_snapshots": """
 with ev as (select distinct 'shard_meta' as src_table, run_id, shard_id, f as ref_field, r as ref_id, recorded_at from (select *, unnest(['parent_id', 'next_shard', 'previous_shard']) as f, unnest([parent_id, next_shard, previous_shard]) as r from shard_meta) where r <> ''
   union select 'doc_meta', run_id, root_shard, 'root_shard', root_shard, created_at from doc_meta where root_shard <> ''),
-months as (select distinct strftime(t, '%Y-%m') as month from (select recorded_at as t from ev union all select written_at from file_shard union all select removed_at from shard_removal)),
-st as (select month, run_id, shard_id as ref_id, min(written_at) as fw, max(written_at) as lw from months join file_shard on strftime(written_at, '%Y-%m') <= month group by all),
-rm as (select month, run_id, shard_id as ref_id, max(removed_at) as lr from months join shard_removal on strftime(removed_at, '%Y-%m') <= month group by all)
+months as (select distinct strftime(date_trunc('quarter', t), '%Y-%m') as month from (select recorded_at as t from ev union all select written_at from file_shard union all select removed_at from shard_removal)),
+st as (select month, run_id, shard_id as ref_id, min(written_at) as fw, max(written_at) as lw from months join file_shard on strftime(date_trunc('quarter', written_at), '%Y-%m') <= month group by all),
+rm as (select month, run_id, shard_id as ref_id, max(removed_at) as lr from months join shard_removal on strftime(date_trunc('quarter', removed_at), '%Y-%m') <= month group by all)
 select month, src_table, case when st.ref_id is null then 'missing' when lr > lw then 'removed' when fw > recorded_at then 'late' else 'held' end as state, count(*) as n
-from months join ev on strftime(recorded_at, '%Y-%m') <= month left join st using (month, run_id, ref_id) left join rm using (month, run_id, ref_id) group by all""",
+from months join ev on strftime(date_trunc('quarter', recorded_at), '%Y-%m') <= month left join st using (month, run_id, ref_id) left join rm using (month, run_id, ref_id) group by all""",
 }
