@@ -36,9 +36,26 @@ def strict_parse(text: str | None) -> tuple[object, str | None, str | None]:
     return v, None, None
 
 
+#: Writers made once, with and without sorting; every value written is a tree, so cycles needn't be looked for.
+_WRITE = {sort: json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys=sort, check_circular=False).encode for sort in (False, True)}
+
+
 def compact(value: object, sort: bool = False) -> str:
     """Compact JSON text, keys in code point order if asked for; half surrogate pairs become '?'."""
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=sort).encode("utf-8", "replace").decode()
+    text = _WRITE[sort](value)
+    if text.isascii():
+        return text
+    try:
+        text.encode()
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-8", "replace").decode()
+
+
+def compact_bytes(value: object) -> int:
+    """UTF-8 bytes of the compact text."""
+    text = _WRITE[False](value)
+    return len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
 
 
 def node_table(doc_ids: pa.Array, texts: pa.Array, raw: bool = False) -> pa.Table:

@@ -131,6 +131,7 @@ def stream(items: DataFrame, keys: list[str], order: str, size: str, limit: int,
     """
     usable, fill = room(limit)
     cap, zero_cap = {"fill": (fill, usable), "tight": (floor(limit * 0.9), None), "plain": (limit, None)}[policy]
+    items = items.select(*keys, order, size)
     bounds = items.groupBy(*keys).agg(F.count("*").alias("n_"), F.min(order).alias("lo_"), F.max(order).alias("hi_"))
     parts = F.ceil(F.col("n_") / block)
     at = F.when(parts <= 1, 0).otherwise(F.floor((F.col(order) - F.col("lo_")) * parts / (F.col("hi_") - F.col("lo_") + 1))).cast("bigint")

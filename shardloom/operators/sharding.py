@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsonnodes import compact, strict_parse
+from ..functions.jsonnodes import compact, compact_bytes, strict_parse
 
 # fixed values: defaults, bytes of the file schema around a value, shares of overhead and metadata
 MAX_SIZE = 92160
@@ -52,19 +52,21 @@ def compact_size(v: object) -> int:
     if isinstance(v, bool):
         return 5 if v else 4
     if isinstance(v, str):
-        return len(v.encode("utf-8", "replace")) + 2 + v.count('"') + v.count("\\")
-    return len(compact(v).encode())
+        return (len(v) if v.isascii() else len(v.encode("utf-8", "replace"))) + 2 + v.count('"') + v.count("\\")
+    return compact_bytes(v)
 
 
 def _lines(v: object, d: int) -> int:
-    """Bytes that indenting by two adds to the compact text of a value whose container depth is d."""
-    total, todo = 0, [(v, d)]
-    while todo:
-        x, d = todo.pop()
-        if isinstance(x, (dict, list)) and x:
-            pairs = isinstance(x, dict)
-            total += len(x) * ((2 if pairs else 1) + 2 * (d + 1)) + 1 + 2 * d
-            todo += [(y, d + 1) for y in (x.values() if pairs else x) if isinstance(y, (dict, list))]
+    """Bytes that indenting by two adds to the compact text of a container whose depth is d."""
+    total, level = 0, [v]
+    while level:  # all containers of a depth
+        below: list = []
+        for x in level:
+            if x:
+                pairs = isinstance(x, dict)
+                total += len(x) * ((4 if pairs else 3) + 2 * d) + 1 + 2 * d
+                below += [y for y in (x.values() if pairs else x) if isinstance(y, (dict, list))]
+        level, d = below, d + 1
     return total
 
 
@@ -88,7 +90,7 @@ def sorted_keys(v: object) -> object:
 
 def file_size(v: object) -> int:
     """Estimated bytes of a value's shard file: the formatted text with its metadata, a share and a constant on top."""
-    b = SCHEMA_BYTES + len(compact(v).encode()) + _lines(v, 1)
+    b = SCHEMA_BYTES + compact_bytes(v) + (_lines(v, 1) if isinstance(v, (dict, list)) else 0)
     return b + floor(b * OVERHEAD_SHARE) + OVERHEAD_BYTES
 
 
