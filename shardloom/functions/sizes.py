@@ -119,3 +119,9 @@ def escaped_length(json: str | Column) -> Column:
     t = _c(json)
     odd, far = F.length(F.regexp_replace(t, r"[\x00-\x7F]", "")), F.length(F.regexp_replace(t, r"[\x00-\x{FFFF}]", ""))
     return (F.length(t) + 5 * odd + 6 * far).cast("bigint")
+
+
+def limit_issue(limit: str | Column) -> Column:
+    """What is wrong with a size limit in bytes: error if it is not positive, warning if very small (below 1 KB) or very large (above 100 MB), else null; unknown limits are errors."""
+    v = _c(limit)
+    return F.when(v.isNull() | (v <= 0), "error").when((v < 1024) | (v > 100 << 20), "warning")

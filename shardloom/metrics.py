@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def resident_mb() -> float:
@@ -89,6 +90,25 @@ class Profiler:
         raise ValueError(f"unknown format: {kind}")
 
 
+#: Columns of an export, and the numbers among them that are written with six decimals.
+_EXPORT = ("operation_name", "duration", "input_size", "output_size", "memory_peak_mb", "throughput_mbps", "shards_created", "compression_ratio")
+_DECIMAL = ("duration", "memory_peak_mb", "throughput_mbps", "compression_ratio")
+
+
+def export_rows(metrics: DataFrame, kind: str = "csv") -> DataFrame:
+    """(run_id, line): rows of run_metrics of any number as lines of csv (without its head), json or summary; other kinds raise ValueError. Nulls are empty in csv and left out in json."""
+    cols = [(F.col(c).cast("decimal(20,6)") if c in _DECIMAL else F.col(c)).alias(c) for c in _EXPORT]
+    if kind == "csv":
+        line = F.concat_ws(",", *(F.coalesce(c.cast("string"), F.lit("")) for c in cols))
+    elif kind == "json":
+        line = F.to_json(F.struct(*cols))
+    elif kind == "summary":
+        line = F.concat("operation_name", F.lit(": "), F.coalesce(F.round("duration", 3).cast("string"), F.lit("?")), F.lit(" s, "), F.coalesce(F.col("shards_created").cast("string"), F.lit("?")), F.lit(" shards"))
+    else:
+        raise ValueError(f"unknown format: {kind}")
+    return metrics.select("run_id", line.alias("line"))
+
+
 _PROFILER = Profiler()
 
 

@@ -47,6 +47,24 @@ def large_values(nodes: DataFrame, threshold: int) -> DataFrame:
     return nodes.where((F.col("depth") > 0) & (F.col("spaced_size") > threshold)).select("doc_id", F.to_json("path").alias("place"), F.col("spaced_size").alias("size"))
 
 
+def summaries(docs: DataFrame) -> DataFrame:
+    """(doc_id, summary) of each document: `dict with 3 keys`, `list with 2 items`, else the type of the scalar and its first fifty characters; null for invalid texts."""
+
+    def told(text: str | None) -> str | None:
+        v, error, _ = strict_parse(text)
+        if isinstance(v, dict):
+            return f"dict with {len(v)} keys"
+        if isinstance(v, list):
+            return f"list with {len(v)} items"
+        return f"{type(v).__name__}: {str(v)[:50]}..." if error == "STRUCTURE" else None
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([told(x) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "summary"])
+
+    return docs.select("doc_id", "json").mapInArrow(run, "doc_id string, summary string")
+
+
 def has_nested(nodes: DataFrame) -> DataFrame:
     """(doc_id, nested): whether the root holds an object or a list."""
     return nodes.where("depth <= 1").groupBy("doc_id").agg(F.bool_or((F.col("depth") == 1) & (F.col("kind") != "primitive")).alias("nested"))

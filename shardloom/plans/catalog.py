@@ -5,10 +5,13 @@ Documents are the texts of file_shard (`run_id/shard_id`); small exact size rule
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import table
+from .. import metrics
+from ..cluster import shared_dir, table
 from ..functions import sizes as Z
 from ..operators import analysis as A
 from ..operators import links as L
@@ -888,3 +891,51 @@ def a8_top_advice(spark, d):
 @query(f"select operation_name, run_id, duration, coalesce(shards_created, 0) as shards_created from {_RUNS} where duration is not null")
 def m2_metrics(spark, d):
     return A.distinct_runs(table(spark, d, "run_metrics")).where("duration is not null").select("operation_name", "run_id", "duration", F.coalesce("shards_created", F.lit(0)).alias("shards_created"))
+
+
+@query(
+    """select distinct run_id, concat_ws(',', coalesce(operation_name, ''), coalesce(duration::decimal(20, 6)::varchar, ''), coalesce(input_size::varchar, ''), coalesce(output_size::varchar, ''), coalesce(memory_peak_mb::decimal(20, 6)::varchar, ''), coalesce(throughput_mbps::decimal(20, 6)::varchar, ''),
+coalesce(shards_created::varchar, ''), coalesce(compression_ratio::decimal(20, 6)::varchar, '')) as line from run_metrics"""
+)
+def m2_export(spark, d):
+    return metrics.export_rows(table(spark, d, "run_metrics")).distinct()
+
+
+@query("select run_id, shard_id, case when size is null or size <= 0 then 'error' when size < 1024 or size > 104857600 then 'warning' end as issue from (select distinct run_id, shard_id, size from file_shard)")
+def v8_limits(spark, d):
+    """The check of limits, for each shard's size taken as one."""
+    return table(spark, d, "file_shard").select("run_id", "shard_id", "size").distinct().select("run_id", "shard_id", Z.limit_issue("size").alias("issue"))
+
+
+@query(
+    """with docs as (select distinct run_id || '/' || shard_id as doc_id, data from file_shard), v as (select *, if(json_valid(data), data, null) as j from docs)
+select doc_id, case json_type(j) when 'OBJECT' then 'dict with ' || len(json_keys(j)) || ' keys' when 'ARRAY' then 'list with ' || json_array_length(j) || ' items' when 'VARCHAR' then 'str: ' || substring(j ->> '$', 1, 50) || '...' when 'BOOLEAN' then 'bool: ' || if((j ->> '$') = 'true', 'True', 'False') || '...'
+  when 'NULL' then 'NoneType: None...' when 'DOUBLE' then 'float: ' || (j ->> '$') || '...' else case when j is not null then 'int: ' || (j ->> '$') || '...' end end as summary from v"""
+)
+def d10_summaries(spark, d):
+    return A.summaries(_docs(spark, d))
+
+
+@query(_OBJECTS + f", f as (select case when starts_with({_NAME}, '_') then 'metadata' else data_type end as kind, size from shards) select kind, count(*) as files, sum(size)::bigint as bytes, avg(size) as average, round(sum(size) / 1048576, 6) as mb from f group by all")
+def s15_file_statistics(spark, d):
+    """Files and bytes by class of name, over the names and estimated sizes of an index."""
+    i = sinks.index(_object_shards(spark, d))
+    return sinks.file_statistics(i.select(F.concat_ws("/", F.lit("out"), "doc_id", "filename").alias("path"), F.col("size").alias("length")))
+
+
+@query(_OBJECTS + " select doc_id, shard_id, true as metadata_same, data from shards")
+def s16_file_schema(spark, d):
+    """Shards written as the text of their file and read back."""
+    s = _object_shards(spark, d).withColumn("back", sinks.read_file_text(sinks.file_text()))
+    same = [F.col(f"back.metadata.{c}").eqNullSafe(F.col(c)) for c in sinks.META]
+    return s.select("doc_id", "shard_id", F.least(*same).alias("metadata_same"), "data").where("back is not null")
+
+
+@query("with s as (" + SQL["k21_customer_shards"] + ") select doc_id, count(*) as files, 0::bigint as failed, true as full_size from s group by all")
+def s6_written(spark, d):
+    """Shards of the customers' documents written to shared storage, one file each (S6, S8): files, failures, and whether each is at least as long as its data."""
+    docs = corpus.from_orders(table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "customer"))
+    shards = sharding.shard(docs, LIMIT)
+    out = sinks.write_files(shards, f"{shared_dir(spark).removeprefix('file:')}/written-{uuid4().hex}")
+    j = out.join(shards.select("doc_id", "shard_id", F.octet_length("data").alias("least")), ["doc_id", "shard_id"])
+    return j.groupBy("doc_id").agg(F.count("bytes").alias("files"), F.count("error").alias("failed"), F.bool_and(F.col("bytes") > F.col("least")).alias("full_size"))

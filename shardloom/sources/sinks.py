@@ -51,6 +51,13 @@ def folder_name(doc_id: str) -> str:
     return name.replace(".", "%2E") if not name.strip(".") else name or "%"
 
 
+def read_file_text(text: str | Column) -> Column:
+    """The inverse of `file_text`: a struct of the metadata, as `read_metadata` gives it, and the data as JSON text; null for what is no shard file. Data with NaN or Infinity, which are no JSON, come back null."""
+    t = F.col(text) if isinstance(text, str) else text
+    meta = F.from_json(t, "_metadata string")["_metadata"]
+    return F.when(meta.isNotNull(), F.struct(read_metadata(meta).alias("metadata"), F.to_json(F.try_variant_get(F.try_parse_json(t), "$.data", "variant")).alias("data")))
+
+
 def _put(place: str, name: str, body: bytes) -> None:
     """Write a file whole or not at all: a task that runs twice leaves one."""
     os.makedirs(place, exist_ok=True)
@@ -154,9 +161,8 @@ def write_index(shards: DataFrame, folder: str) -> DataFrame:
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord").drop("ord").mapInArrow(lambda b: _write_index(b, folder), "doc_id string, entries bigint")
 
 
-def output_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, files, bytes, average, mb) of the files below a folder by the class their names tell."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+def file_statistics(files: DataFrame) -> DataFrame:
+    """(kind, files, bytes, average, mb) of files (path, length) by the class their names tell: metadata, dict, list, primitive or other."""
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(name.startswith("_"), "metadata")
     for k in ("dict", "list", "primitive"):
@@ -164,6 +170,11 @@ def output_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return files.groupBy(kind.otherwise("other").alias("kind")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.avg("length").alias("average"), F.round(F.sum("length") / 1048576, 6).alias("mb"))
 
 
+def output_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """`file_statistics` of the files below a folder."""
+    return file_statistics(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length"))
+
+
 def check_folder(folder: str) -> list[tuple[str, str]]:
     """(severity, message) of what is wrong with an output folder on this machine."""
     if not folder or "\x00" in folder:

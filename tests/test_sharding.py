@@ -103,3 +103,18 @@ def test_operator(spark):
     assert back["a"] == compact(ORCHARD, True) and back["c"] == "[]" and back["d"] == "{}"
     assert {r.doc_id: r.shard_count for r in S.document_table(got, c).collect()}["d"] == 1
     assert S.shard(c.limit(0)).collect() == []
+
+
+def test_overflow_and_oversized_scalars():
+    wide = {f"key{i:02d}": "v" * 40 for i in range(12)}
+    out = S.Cutter(900, False).cut({"a": wide, "b": {}})
+    assert [s.shard_id for s in out][:3] == ["shard_001", "shard_002", "shard_002_overflow_1"] and all(s.parent_id == "shard_002" and s.data_type == "dict" for s in out if "overflow" in s.shard_id)
+    assert out[1].child_ids == [s.shard_id for s in out if "overflow" in s.shard_id]
+    merged = {}
+    for s in out[1:]:
+        if s.shard_id.startswith("shard_002"):
+            merged |= s.data
+    assert merged == wide
+    only = S.Cutter(1000, False).cut_list([[1], "z" * 3000, [2]])
+    assert [(s.data_type, s.path) for s in only] == [("list", ["[0:1]"]), ("primitive", ["[1]"]), ("list", ["[2:3]"])] and only[1].data["_original_index"] == 1 and set(only[1].data) == {"_warning", "_original_index", "_item"}
+    assert [(s.previous_shard, s.next_shard) for s in only] == [(None, only[1].shard_id), (only[0].shard_id, only[2].shard_id), (only[1].shard_id, None)]
