@@ -214,6 +214,16 @@ def _again(paths: bool):
     return f
 
 
+def _into_cycles(t: pa.Table) -> pa.Table:
+    """Rows whose line runs, within the block, into a cycle that goes through other blocks: where it does, and after how many links."""
+    w = _Forest(t)
+    cycle_head = t.column("cycle_head").combine_chunks()
+    ptr, off, on, _, told = w.solve(pc.is_valid(cycle_head).to_numpy(zero_copy_only=False))
+    hit = np.flatnonzero(on[ptr] & (told[ptr] >= 0))
+    kind = np.where(on, CYCLE, UNDER)[hit]
+    return pa.table({"run_id": t.column("run_id").take(pa.array(hit)), "t": t.column("shard_id").take(pa.array(hit)), "c_kind": _text(kind), "c_head": cycle_head.take(pa.array(told[ptr[hit]])), "c_steps": pa.array(np.where(on, 0, off)[hit])})
+
+
 def _joined(a: pa.Array, b: pa.Array) -> pa.Array:
     """Lists of `a` (null as empty) followed by those of `b`, by one gather."""
     a = pc.fill_null(a, pa.scalar([], a.type)) if a.null_count else a
@@ -246,12 +256,16 @@ def _merge(local: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame]:
         nxt = step.select("run_id", F.col("t").alias("ptr"), F.col("ptr").alias("p2"), F.col("least").alias("l2"))
         step = cut(step.join(nxt, ["run_id", "ptr"], "left").select("run_id", "t", F.col("p2").alias("ptr"), F.least("least", "l2").alias("least")))
     members = step.where("ptr is not null").select("run_id", F.col("ptr").alias("t")).distinct().join(step, ["run_id", "t"]).select("run_id", "t", F.col("least").alias("cycle_head"))
-    # once more, with the members of cycles as ends: kinds, offsets and paths
-    looped = F.col("cycle_head").isNotNull()
+    # once more, with the records on cycles as ends: kinds, offsets and paths; lines may run into a cycle within a block
+    members = cut(members)
+    looped = members.select("run_id").distinct()
+    rows = local.join(looped, "run_id", "left_semi").select("run_id", "block", "shard_id", "parent_id").join(members.withColumnRenamed("t", "shard_id"), ["run_id", "shard_id"], "left")
+    found = "run_id bigint, t string, c_kind string, c_head string, c_steps bigint"
+    into = local.sparkSession.createDataFrame([], found) if members.isEmpty() else map_groups(rows, ["run_id", "block"], _into_cycles, found)
+    ends = F.col("c_kind").isNotNull()
     walk = cut(
-        start.join(members, ["run_id", "t"], "left").select(
-            "run_id", "t", F.when(~looped, F.col("ptr")).alias("ptr"), F.when(looped, F.lit(CYCLE)).otherwise(F.col("kind")).alias("kind"),
-            F.coalesce("cycle_head", "head").alias("head"), F.when(looped, 0).otherwise(F.col("steps")).alias("steps"), "path", "cycle_head",
+        start.join(members, ["run_id", "t"], "left").join(into, ["run_id", "t"], "left").select(
+            "run_id", "t", F.when(~ends, F.col("ptr")).alias("ptr"), F.coalesce("c_kind", "kind").alias("kind"), F.coalesce("c_head", "head").alias("head"), F.coalesce("c_steps", "steps").alias("steps"), "path", "cycle_head",
         )
     )
     closed = F.col("ptr").isNull()

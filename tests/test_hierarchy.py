@@ -71,6 +71,24 @@ def test_cycle_across_blocks(spark):
     assert got == {k[1]: v[:3] for k, v in brute(rows).items()}
 
 
+def test_lines_into_a_cycle_within_a_block(spark):
+    # the cycle 001, 002, 003, 011 leaves its block at 003; 015 comes from another block over 005, which joins it at 002
+    up = {1: 2, 2: 3, 3: 11, 11: 1, 5: 2, 15: 5, 16: 15, 25: 16, 26: None, 27: 26}
+    rows = [(1, f"s_{i:03d}", f"s_{up[i]:03d}" if up.get(i) is not None else None, None, "") for i in range(30)]
+    got = {x.shard_id: (x.kind, x.head_id, x.steps) for x in H.build(spark.createDataFrame(rows, SCHEMA), False, 10).collect()}
+    assert got == {k[1]: v[:3] for k, v in brute(rows).items()} and got["s_015"] == ("under_cycle", "s_001", 2)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_many_cycles_over_blocks(spark, seed):
+    r, rows = random.Random(seed), []
+    for run in range(40):
+        n = r.randint(8, 40)
+        rows += [(run, f"s_{i:03d}", r.choice([None, "gone", *[f"s_{r.randrange(n):03d}"] * 12]), None, "") for i in range(n)]
+    got = {(x.run_id, x.shard_id): (x.kind, x.head_id, x.steps) for x in H.build(spark.createDataFrame(rows, SCHEMA), False, 5).collect()}
+    assert got == {k: v[:3] for k, v in brute(rows).items()}
+
+
 def test_empty_and_descendants(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert H.build(empty, True).collect() == [] and H.hierarchy(empty).collect() == []
