@@ -167,6 +167,18 @@ class OrphanState:
         self._write(self._refs("held", parts).select(*REF, "state", "kind").distinct().withColumn("before", F.col("state")), "refs", whole, "kind")
         self._moves([p for p in parts if p > 0]).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/delta/part={whole}")
 
+    def vacuum(self) -> None:
+        """Delete the parts that merged ones have replaced. A state of fewer batches can't be taken up after that."""
+        parts, merges = _parts(self.batches)
+        if not merges:
+            return
+        gone = [*(b for b in range(1, -merges[-1] + 1) if b != self.batches), *merges[:-1]]
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in ("index", "refs"):
+            for b in gone:
+                place = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/part={b}")
+                place.getFileSystem(conf).delete(place, True)
+
     def _moves(self, parts: list[int]) -> DataFrame:
         """(batch, src_table, period, state, n) of these batches."""
         rows = self.spark.read.schema(_REFS + ", part int").option("basePath", f"{self.folder}/refs").parquet(*(f"{self.folder}/refs/part={b}" for b in parts)).where("before <> state")

@@ -64,7 +64,9 @@ def ledger(events: DataFrame, out: str, checkpoint: str, buckets: int = 64) -> S
         refs = batch.where("kind = 'ref'").select("src_table", "run_id", "shard_id", "ref_field", "ref_id", F.col("at").alias("recorded_at"))
         stored = batch.where("kind = 'stored'").select("run_id", F.col("ref_id").alias("shard_id"), F.col("at").alias("written_at"))
         removed = batch.where("kind = 'removed'").select("run_id", F.col("ref_id").alias("shard_id"), F.col("at").alias("removed_at"))
-        state = OrphanState(batch.sparkSession, out, buckets, epoch).advance(refs, stored, removed)
+        before = OrphanState(batch.sparkSession, out, buckets, epoch)
+        before.vacuum()  # what this state doesn't need, a repetition of the batch doesn't either
+        state = before.advance(refs, stored, removed)
         state.snapshot().withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/snapshots/epoch={epoch}")
         batch.unpersist()
 

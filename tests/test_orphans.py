@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -71,7 +72,12 @@ def test_many_batches_are_merged(spark, monkeypatch):
     assert state.batches == len(months) >= 4 and len(state.parts) < 3
     assert {tuple(x) for x in state.orphans().collect()} == brute(refs, stored, removed)
     assert {(x.src_table, x.period, x.state): x.n for x in state.snapshot().collect()} == snapshot(refs, stored, removed)
-    again = OrphanState(spark, state.folder, state.buckets, state.batches - 1)
+    had = sorted(map(tuple, state.orphans().collect()))
+    state.vacuum()
+    assert sorted(map(tuple, state.orphans().collect())) == had and len([f for f in os.listdir(state.folder.removeprefix("file:") + "/index") if f.startswith("part=")]) <= 3
+    late = state.advance(removals=spark.createDataFrame([(1, "s1", datetime(2030, 1, 1))], "run_id bigint, shard_id string, removed_at timestamp_ntz"))
+    assert {tuple(x) for x in late.orphans().collect()} == brute(refs, stored, [*removed, (1, "s1", datetime(2030, 1, 1))])
+    again = OrphanState(spark, state.folder, state.buckets, state.batches)
     assert again.snapshot().agg({"n": "sum"}).first()[0] <= len(set(refs))
 
 
