@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import map_groups
+from ..cluster import cut, map_groups
 from ..functions.sizes import opens_new, room
 
 
@@ -124,18 +124,22 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
 def stream(items: DataFrame, keys: list[str], order: str, size: str, limit: int, policy: str = "fill", block: int = 1 << 17) -> DataFrame:
     """The same for groups of any length, with the same result.
 
-    A group is cut into blocks of about `block` neighbouring items by its order. Next-fit over a block is a function of
-    the bytes open at its beginning; it is tabulated for each block of a long group, the tables are composed in order
-    over one row a block, and the blocks are packed again from the states found. So no task holds a whole hot group.
-    `order` must be integral; null sizes count 0; ties of `order` go by size; null keys form a group.
+    The rows are cut by sampled ranges of (keys, order) into blocks of about `block` rows, whatever the values of the
+    order. Next-fit over a block is a function of the bytes open at its beginning; it is tabulated for each block of a
+    group that has several, the tables are composed in order over one row a block, and the blocks are packed again from
+    the states found. So no task holds a whole hot group. `order` must be integral; null sizes count 0; ties of `order`
+    go by size; null keys form a group.
     """
     usable, fill = room(limit)
     cap, zero_cap = {"fill": (fill, usable), "tight": (floor(limit * 0.9), None), "plain": (limit, None)}[policy]
-    items = items.select(*keys, order, size)
-    bounds = items.groupBy(*keys).agg(F.count("*").alias("n_"), F.min(order).alias("lo_"), F.max(order).alias("hi_"))
-    parts = F.ceil(F.col("n_") / block)
-    at = F.when(parts <= 1, 0).otherwise(F.floor((F.col(order) - F.col("lo_")) * parts / (F.col("hi_") - F.col("lo_") + 1))).cast("bigint")
-    rows = _same(items, bounds, keys).select(*keys, at.alias("block_"), (parts > 1).alias("long_"), F.col(order).cast("bigint").alias(order), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias(size))
+    rows = items.select(*keys, F.col(order).cast("bigint").alias(order), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias(size))
+    parts = -(-rows.count() // block)
+    if parts > 1:
+        rows = cut(rows.repartitionByRange(parts, *keys, order, size).withColumn("block_", F.spark_partition_id().cast("bigint")))
+        spans = rows.groupBy(*keys).agg((F.min("block_") < F.max("block_")).alias("long_"))
+        rows = _same(rows, spans, keys)
+    else:
+        rows = rows.withColumns({"block_": F.lit(0).cast("bigint"), "long_": F.lit(False)})
     names = [*keys, "block_"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
     in_order = lambda t: t.sort_by([(c, "ascending") for c in [*names, order, size]])
@@ -172,6 +176,10 @@ def stream(items: DataFrame, keys: list[str], order: str, size: str, limit: int,
         out = [_Block(sizes[a:b], cap, zero_cap).chunks(int(entry[a])) + base[a] for a, b in zip(edge, edge[1:])]
         return t.select([*keys, order, size]).append_column("chunk", pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
 
+    if parts <= 1:  # no group has several blocks, so none is entered
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, order, size).schema)
+        begun = rows.drop("long_").withColumns({"entry_": F.lit(-1).cast("bigint"), "base_": F.lit(0).cast("bigint")})
+        return map_groups(begun, names, pack, f"{fields}, chunk bigint")
     tables = map_groups(rows.where("long_").drop("long_"), names, tabulate, f"{kinds}, {_TABLE}")
     states = tables.repartition(*keys).sortWithinPartitions(*names).mapInArrow(compose, f"{kinds}, entry_ bigint, base_ bigint")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, order, size).schema)

@@ -64,3 +64,11 @@ def test_blocks_of_hot_groups(spark):
     ids = P.number(P.chunk_table(P.fold(df.limit(30), ["g"], "i", "s", 1000, "plain"), ["g"], "i", "s"), ["g"]).orderBy("chunk").collect()
     assert ids[0].previous_shard is None and ids[0].next_shard == "shard_002" and ids[-1].next_shard is None
     assert P.fold(df.limit(0), ["g"], "i", "s", 1000).collect() == []
+
+
+def test_clumped_order(spark):
+    """One far value of the order leaves the blocks as they are."""
+    far = [*range(300), 10**17]
+    df = spark.createDataFrame([("g", i, (i * 37) % 200) for i in far], "g string, i bigint, s bigint")
+    got = {x.i: x.chunk for x in P.stream(df, ["g"], "i", "s", 1000, "plain", block=40).collect()}
+    assert got == dict(zip(far, brute([(i * 37) % 200 for i in far], 1000, "plain")))
